@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 
 from .common import table
+from .decontaminate import decontaminate
 from .quality_rules import quality_rules
 from .token_counts import token_counts
 from .token_files import read_token_files, write_token_files
@@ -26,8 +27,12 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), BPE))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op3_quality_rules, op7_token_files)}
+    return {f.__name__: f for f in (op1_token_counts, op3_quality_rules, op7_token_files, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
