@@ -8,6 +8,7 @@ import public_tokenizers
 
 from .common import table
 from .decontaminate import decontaminate
+from .near_dedup import near_dedup
 from .quality_rules import quality_rules
 from .token_counts import token_counts
 from .token_files import read_token_files, write_token_files
@@ -23,6 +24,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), BPE))
 
@@ -32,7 +37,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op3_quality_rules, op7_token_files, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_token_counts, op3_quality_rules, op6_near_dedup, op7_token_files, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
