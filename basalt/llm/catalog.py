@@ -9,21 +9,33 @@ import public_tokenizers
 from .common import table
 from .decontaminate import decontaminate
 from .near_dedup import near_dedup
+from .perspectives import perspectives
+from .piece_codec import piece_codec
 from .quality_rules import quality_rules
+from .secret_scan import secret_scan
 from .token_counts import token_counts
 from .token_files import read_token_files, write_token_files
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), BPE)
 
 
+def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec(table(spark, sf_dir, "documents"), PIECES)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
@@ -32,13 +44,29 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), BPE))
 
 
+def op9_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives(table(spark, sf_dir, "conversations"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op3_quality_rules, op6_near_dedup, op7_token_files, op10_decontaminate)}
+    found = (
+        op1_token_counts,
+        op2_piece_codec,
+        op3_quality_rules,
+        op5_secret_scan,
+        op6_near_dedup,
+        op7_token_files,
+        op9_perspectives,
+        op10_decontaminate,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import oracles
+
+    return {"op3_quality_rules": oracles.QUALITY_RULES, "op9_perspectives": oracles.PERSPECTIVES}
