@@ -13,6 +13,8 @@ from .perspectives import perspectives
 from .piece_codec import piece_codec
 from .quality_rules import quality_rules
 from .secret_scan import secret_scan
+from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 from .token_files import read_token_files, write_token_files
 
@@ -32,6 +34,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
@@ -44,6 +50,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), BPE))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives(table(spark, sf_dir, "conversations"))
 
@@ -57,9 +67,11 @@ def queries() -> dict:
         op1_token_counts,
         op2_piece_codec,
         op3_quality_rules,
+        op4_suffix_dedup,
         op5_secret_scan,
         op6_near_dedup,
         op7_token_files,
+        op8_substring_dedup,
         op9_perspectives,
         op10_decontaminate,
     )
