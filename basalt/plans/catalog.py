@@ -1,15 +1,352 @@
-"""The registered queries of the library and their SQL."""
+"""The registered queries of the library and their DuckDB SQL.
+
+Money columns are doubles with two decimals; they become DECIMAL(18,2) before they
+are summed, so results don't depend on the order of rows. The tables hold no nulls;
+queries about nulls make them with an expression, alike in both engines.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.cleanup import clean_with_preset, clean_with_rules
+from ..functions.json_normalize import normalize_columns, normalize_stats
+from ..operators.aggregates import aggregate
+from ..operators.dedup import drop_duplicates
+from ..operators.equivalence import check_equivalence
+from ..operators.hashing import hash_rows, hash_rows_all_columns, row_hash, table_fingerprint
+from ..operators.joins import broadcast_join, join, join_null_safe
+from ..operators.schema_check import validate_schema
+from ..session import configure
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None):
+    """Register a function under its name, with its SQL."""
+
+    def put(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            configure(spark)
+            return f(spark, lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        _QUERIES[f.__name__] = run
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _money(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("decimal(18,2)") for n in names})
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _QUERIES["revenue_by_nation"](spark, sf_dir)
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+@_query("""
+    SELECT n_name, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS total, count(o_orderkey) AS n
+    FROM (SELECT DISTINCT ON (o_orderkey) * FROM orders) JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")
+def revenue_by_nation(spark, table):
+    orders = drop_duplicates(_money(table("orders"), "o_totalprice"), ["o_orderkey"])
+    joined = join(orders, table("customer"), ["o_custkey"], ["c_custkey"])
+    return aggregate(broadcast_join(joined, table("nation"), ["c_nationkey"], ["n_nationkey"]), ["n_name"], [("o_totalprice", "sum", "total"), ("o_orderkey", "count", "n")])
+
+
+# --- aggregates
+
+
+@_query("""
+    SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS sum_price, CAST(sum(l_linenumber) AS BIGINT) AS sum_line,
+           count(l_orderkey) AS n, CAST(min(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS min_price, max(l_quantity) AS max_quantity, CAST(sum(l_orderkey) AS BIGINT) AS sum_key
+    FROM lineitem GROUP BY ALL""")
+def agg_sum_count_minmax(spark, table):
+    lines = _money(table("lineitem"), "l_extendedprice")
+    return aggregate(
+        lines,
+        ["l_returnflag", "l_linestatus"],
+        [("l_extendedprice", "sum", "sum_price"), ("l_linenumber", "sum", "sum_line"), ("l_orderkey", "count", "n"), ("l_extendedprice", "min", "min_price"), ("l_quantity", "max", "max_quantity"), ("l_orderkey", "sum", "sum_key")],
+    )
+
+
+@_query("SELECT p_brand, CAST(sum(p_size) AS DOUBLE) / count(p_size) AS mean_size, CAST(sum(p_partkey) AS DOUBLE) / count(p_partkey) AS mean_key FROM part GROUP BY p_brand")
+def agg_mean_int(spark, table):
+    return aggregate(table("part"), ["p_brand"], [("p_size", "mean", "mean_size"), ("p_partkey", "avg", "mean_key")])
+
+
+@_query("SELECT event_type, round(sum(value) / count(value), 6) AS mean_value FROM events GROUP BY event_type")
+def agg_mean_double(spark, table):
+    return aggregate(table("events"), ["event_type"], [("value", "mean", "mean_value")]).withColumn("mean_value", F.round("mean_value", 6))
+
+
+@_query("""
+    SELECT c_mktsegment, CAST(CAST(sum(cents) // count(cents) AS DECIMAL(18,2)) / 100 AS DECIMAL(18,2)) AS mean_balance
+    FROM (SELECT c_mktsegment, CAST(CAST(c_acctbal AS DECIMAL(18,2)) * 100 AS BIGINT) AS cents FROM customer) GROUP BY c_mktsegment""")
+def agg_mean_decimal_trunc(spark, table):
+    return aggregate(_money(table("customer"), "c_acctbal"), ["c_mktsegment"], [("c_acctbal", "mean", "mean_balance")])
+
+
+@_query("""
+    SELECT o_orderpriority, count(v) AS n, CAST(sum(v) AS BIGINT) AS total, min(v) AS low, count(w) AS n_none, CAST(sum(w) AS BIGINT) AS total_none
+    FROM (SELECT o_orderpriority, CASE WHEN o_orderkey % 3 > 0 THEN o_custkey END AS v, CASE WHEN o_orderkey < 0 THEN o_custkey END AS w FROM orders) GROUP BY o_orderpriority""")
+def agg_nulls(spark, table):
+    orders = table("orders").select("o_orderpriority", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_custkey")).alias("v"), F.when(F.col("o_orderkey") < 0, F.col("o_custkey")).alias("w"))
+    return aggregate(orders, ["o_orderpriority"], [("v", "count", "n"), ("v", "sum", "total"), ("v", "min", "low"), ("w", "count", "n_none"), ("w", "sum", "total_none")])
+
+
+@_query("SELECT count(l_orderkey) AS n, CAST(sum(l_partkey) AS BIGINT) AS total, max(l_shipdate_day) AS last FROM (SELECT *, date_diff('day', TIMESTAMP '1970-01-01', date_trunc('day', l_shipdate)) AS l_shipdate_day FROM lineitem)")
+def agg_whole_table(spark, table):
+    lines = table("lineitem").withColumn("day", F.unix_date(F.col("l_shipdate").cast("date")).cast("long"))
+    return aggregate(lines, [], [("l_orderkey", "count", "n"), ("l_partkey", "sum", "total"), ("day", "max", "last")])
+
+
+@_query("SELECT count(l_orderkey) AS n, CAST(sum(l_partkey) AS BIGINT) AS total FROM lineitem WHERE false")
+def agg_empty_whole_table(spark, table):
+    return aggregate(table("lineitem").where("false"), [], [("l_orderkey", "count", "n"), ("l_partkey", "sum", "total")])
+
+
+# --- joins
+
+
+def _rich(table):
+    return table("customer").where("c_acctbal > 5000").select("c_custkey", "c_name"), table("orders").where("o_totalprice > 200000").select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("c_name"))
+
+
+def _join_sql(kind: str) -> str:
+    return f"""
+    SELECT c_custkey, c.c_name AS c_name, o_orderkey, o_custkey, o.c_name AS c_name_right
+    FROM (SELECT * FROM customer WHERE c_acctbal > 5000) c {kind} JOIN (SELECT o_orderkey, o_custkey, o_orderstatus AS c_name FROM orders WHERE o_totalprice > 200000) o ON c_custkey = o_custkey"""
+
+
+def _kinds():
+    for how in ("inner", "left", "right", "full"):
+
+        def make(spark, table, how=how):
+            return join(*_rich(table), ["c_custkey"], ["o_custkey"], how)
+
+        make.__name__ = f"join_{how}"
+        _query(_join_sql(how))(make)
+
+
+_kinds()
+
+_NULL_KEYS = "SELECT s_suppkey, nullif(s_nationkey % 5, 2) AS k FROM supplier"
+
+
+def _null_keys(table):
+    s = table("supplier").select("s_suppkey", F.nullif(F.col("s_nationkey") % 5, F.lit(2)).alias("k"))
+    n = table("nation").select("n_nationkey", F.nullif(F.col("n_nationkey") % 5, F.lit(2)).alias("k"))
+    return s, n
+
+
+@_query(f"SELECT s_suppkey, s.k AS k, n_nationkey, n.k AS k_right FROM ({_NULL_KEYS}) s FULL JOIN (SELECT n_nationkey, nullif(n_nationkey % 5, 2) AS k FROM nation) n ON s.k = n.k")
+def join_null_keys(spark, table):
+    return join(*_null_keys(table), ["k"], ["k"], "full")
+
+
+@_query(f"SELECT s_suppkey, s.k AS k, n_nationkey, n.k AS k_right FROM ({_NULL_KEYS}) s JOIN (SELECT n_nationkey, nullif(n_nationkey % 5, 2) AS k FROM nation) n ON s.k IS NOT DISTINCT FROM n.k")
+def join_null_safe_inner(spark, table):
+    return join_null_safe(*_null_keys(table), ["k"], ["k"])
+
+
+@_query("""
+    WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)
+    SELECT a.l_orderkey AS l_orderkey, a.l_linenumber AS l_linenumber, b.l_orderkey AS l_orderkey_right, b.l_linenumber AS l_linenumber_right
+    FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber""")
+def join_composite(spark, table):
+    lines = drop_duplicates(table("lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"])
+    return join(lines, lines, ["l_orderkey", "l_linenumber"], ["l_orderkey", "l_linenumber"])
+
+
+def _broadcasts():
+    for how in ("inner", "left"):
+
+        def make(spark, table, how=how):
+            return broadcast_join(table("customer").select("c_custkey", "c_nationkey"), table("nation").where("n_nationkey < 12"), ["c_nationkey"], ["n_nationkey"], how)
+
+        make.__name__ = f"broadcast_{how}"
+        _query(f"SELECT c_custkey, c_nationkey, n.* FROM customer {how} JOIN (SELECT * FROM nation WHERE n_nationkey < 12) n ON c_nationkey = n_nationkey")(make)
+
+
+_broadcasts()
+
+
+# --- deduplication
+
+
+@_query("SELECT doc_id, text, lang FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1")
+def dedup_first(spark, table):
+    return drop_duplicates(table("documents").select("doc_id", "text", "lang"), ["text"], ["doc_id"])
+
+
+@_query("SELECT event_id, user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS rn FROM events) WHERE rn = 1")
+def dedup_composite(spark, table):
+    return drop_duplicates(table("events").select("event_id", "user_id", "event_type", "value"), ["user_id", "event_type"], ["event_id"])
+
+
+@_query("SELECT DISTINCT nullif(c_nationkey, 3) AS k, c_mktsegment FROM customer")
+def dedup_null_keys(spark, table):
+    return drop_duplicates(table("customer").select(F.nullif(F.col("c_nationkey"), F.lit(3)).alias("k"), "c_mktsegment"), ["k", "c_mktsegment"])
+
+
+@_query("SELECT DISTINCT l_orderkey FROM lineitem")
+def dedup_any(spark, table):
+    return drop_duplicates(table("lineitem"), ["l_orderkey"]).select("l_orderkey")
+
+
+# --- hashes and fingerprints
+
+
+@_query("SELECT l_returnflag, count(DISTINCT (l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_shipdate)) AS n FROM lineitem GROUP BY l_returnflag")
+def hash_distinct_groups(spark, table):
+    hashed = hash_rows(table("lineitem"), ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_shipdate"])
+    return hashed.groupBy("l_returnflag").agg(F.count_distinct("row_hash").alias("n"))
+
+
+@_query("SELECT count(*) AS n, count(*) AS different FROM customer WHERE c_custkey <> c_nationkey")
+def hash_order_sensitive(spark, table):
+    c = table("customer").where("c_custkey <> c_nationkey").select("c_custkey", F.col("c_nationkey").cast("long").alias("n"))
+    return c.agg(F.count(F.lit(1)).alias("n"), F.count_if(row_hash(c, ["c_custkey", "n"]) != row_hash(c, ["n", "c_custkey"])).alias("different"))
+
+
+@_query("SELECT true AS null_differs, true AS type_differs, true AS zeros_agree")
+def hash_null_and_types(spark, table):
+    one = spark.sql("SELECT CAST(NULL AS STRING) AS a, '' AS b, 5 AS c, 5L AS d, 0D AS e, -0D AS f")
+    h = lambda n: row_hash(one, [n])
+    return one.select((h("a") != h("b")).alias("null_differs"), (h("c") != h("d")).alias("type_differs"), (h("e") == h("f")).alias("zeros_agree"))
+
+
+@_query("SELECT true AS reordered_agrees, false AS doubled_agrees")
+def fingerprint_reordered(spark, table):
+    orders = table("orders")
+    base, again = table_fingerprint(orders), table_fingerprint(orders.repartition(7, "o_custkey"))
+    doubled = table_fingerprint(orders.unionByName(orders.where("o_orderkey < 10")))
+    return spark.sql(f"SELECT {str(base == again).lower()} AS reordered_agrees, {str(base == doubled).lower()} AS doubled_agrees")
+
+
+# --- schemas and equivalence
+
+
+@_query("SELECT * FROM (VALUES ('missing', 'email', 'string', ''), ('retyped', 'n_regionkey', 'bigint', 'int'), ('unexpected', 'n_name', '', '')) AS t(kind, name, expected, actual)")
+def schema_diff_rows(spark, table):
+    diff = validate_schema(table("nation"), "n_nationkey INT, email STRING, n_regionkey BIGINT")
+    rows = [("missing", n, "string", "") for n in diff.missing] + [("retyped", r.name, r.expected, r.actual) for r in diff.retyped] + [("unexpected", n, "", "") for n in diff.unexpected]
+    return spark.createDataFrame(rows, "kind string, name string, expected string, actual string")
+
+
+def _equivalences():
+    cases = {
+        "equiv_fast_true": (lambda s: s.repartition(5), False, True),
+        "equiv_fast_false": (lambda s: s.withColumn("s_acctbal", F.when(F.col("s_suppkey") == 1, 0.5).otherwise(F.col("s_acctbal"))), False, False),
+        "equiv_exact": (lambda s: s.orderBy(F.desc("s_name")), True, True),
+        "equiv_exact_false": (lambda s: s.where("s_suppkey <> 2").unionByName(s.where("s_suppkey = 3")), True, False),
+    }
+    for name, (change, exact, same) in cases.items():
+
+        def make(spark, table, change=change, exact=exact):
+            s = table("supplier")
+            report = check_equivalence(change(s), s, exact=exact)
+            return spark.createDataFrame([(report.actual_rows, report.expected_rows, report.is_equivalent)], "actual_rows long, expected_rows long, equivalent boolean")
+
+        make.__name__ = name
+        _query(f"SELECT count(*) AS actual_rows, count(*) AS expected_rows, {str(same).lower()} AS equivalent FROM supplier")(make)
+
+
+_equivalences()
+
+
+# --- JSON
+
+
+@_query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_events_props(spark, table):
+    events = table("events").select("event_id", "props")
+    return events.select("event_id", _one_json(events, "props"))
+
+
+def _one_json(events: DataFrame, column: str):
+    """The field k by the same strict rules, beside other columns."""
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(column), "$.k", "variant"))
+    return F.when(kind == "BIGINT", F.try_variant_get(F.try_parse_json(column), "$.k", "bigint")).alias("k")
+
+
+# Texts by doc_id modulo 8, and what they give.
+_TEXTS = ('{"id": 1, "a": {"b": "x"}, "f": 2}', '{"id": "no", "f": 1.5, "t": true}', "[1]", "no json", '{"id": 1.0, "a": 3}', '{"id": null}', '{"id": 5} x', "{}")
+
+
+def _mixed(table):
+    text = F.element_at(F.array(*[F.lit(x) for x in _TEXTS]), (F.col("doc_id") % 8 + 1).cast("int"))
+    return table("documents").select(F.when(F.col("doc_id") % 11 > 0, text).alias("j"), "doc_id")
+
+
+_MIXED_SQL = "SELECT doc_id, CASE WHEN doc_id % 11 > 0 THEN doc_id % 8 ELSE -1 END AS c FROM documents"
+
+
+@_query(f"""
+    SELECT CAST(CASE WHEN c = 0 THEN 1 END AS BIGINT) AS id, CASE WHEN c = 0 THEN 'x' END AS "a.b", CAST(CASE c WHEN 0 THEN 2.0 WHEN 1 THEN 1.5 END AS DOUBLE) AS f, CASE WHEN c = 1 THEN true END AS t
+    FROM ({_MIXED_SQL})""")
+def json_mixed(spark, table):
+    return normalize_columns(_mixed(table), "j", "id BIGINT, `a.b` STRING, f DOUBLE, t BOOLEAN")
+
+
+@_query(f"""
+    SELECT count(*) AS n, count(*) FILTER (c IN (-1, 2, 3, 6)) AS malformed, count(*) FILTER (c IN (1, 4)) AS id_mismatches, count(*) FILTER (c = 9) AS ab_mismatches FROM ({_MIXED_SQL})""")
+def json_stats(spark, table):
+    stats = normalize_stats(_mixed(table), "j", "id BIGINT, `a.b` STRING")
+    return spark.createDataFrame([(stats.rows, stats.rows_malformed, *stats.type_mismatches.values())], "n long, malformed long, id_mismatches long, ab_mismatches long")
+
+
+# --- cleanup
+
+_WS = r"[\t-\r \x{85}\p{Z}]"
+_MESSY_SQL = "SELECT doc_id, '  ' || text || chr(9) || chr(9) || chr(160) || chr(7) || '-' || chr(8195) AS m FROM documents"
+
+
+def _messy(table):
+    return table("documents").select("doc_id", F.concat(F.lit("  "), "text", F.lit("\t\t\xa0\x07- ")).alias("m"))
+
+
+def _presets():
+    sql = {
+        "trim_whitespace": f"regexp_replace(regexp_replace(m, '^{_WS}+', ''), '{_WS}+$', '')",
+        "collapse_whitespace": f"regexp_replace(m, '{_WS}+', ' ', 'g')",
+        "strip_control_characters": r"regexp_replace(m, '[\x00-\x1F\x7F]', '', 'g')",
+        "strip_non_alphanumeric": rf"regexp_replace(m, '[^A-Za-z0-9\t-\r \x{{85}}\p{{Z}}]', '', 'g')",
+        "digits_only": "regexp_replace(m, '[^0-9]', '', 'g')",
+    }
+    for name, expression in sql.items():
+
+        def make(spark, table, name=name):
+            return clean_with_preset(_messy(table), "m", name)
+
+        make.__name__ = f"clean_{name}"
+        _query(f"SELECT doc_id, {expression} AS m FROM ({_MESSY_SQL})")(make)
+
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+_presets()
 
 
-def queries() -> dict:
-    return {}
+@_query(r"SELECT page_id, regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '([a-z]+) +([a-z]+)', '\2_\1', 'g') AS cleaned FROM pages")
+def clean_rules_ordered(spark, table):
+    rules = [("<[^>]*>", " "), ("(?P<first>[a-z]+) +([a-z]+)", "${2}_$first")]
+    return clean_with_rules(table("pages").select("page_id", "html"), "html", rules, "cleaned").select("page_id", "cleaned")
 
 
-def oracle_sql() -> dict:
-    return {}
+@_query("SELECT count(*) AS n, count(DISTINCT (c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment)) AS hashes FROM customer")
+def hash_all_columns(spark, table):
+    return hash_rows_all_columns(table("customer")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row_hash").alias("hashes"))
