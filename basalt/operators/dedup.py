@@ -31,7 +31,7 @@ def drop_duplicates(df: DataFrame, columns: Sequence[str], order_by: Sequence[st
         if found > max_distinct_keys:
             raise MemoryError(f"more than {max_distinct_keys} distinct keys")
     if not order_by:
-        return df.dropDuplicates([quoted(n) for n in names] if any("." in n for n in names) else names)
+        return df.dropDuplicates(names)
     order = F.struct(*[x for f in fields(df, order_by) for x in (col(f.name).isNotNull(), col(f.name))])
     row = F.struct(*[col(n) for n in df.columns])
     picked = df.groupBy(*[quoted(n) for n in names]).agg(F.min_by(row, order).alias(_ROW))

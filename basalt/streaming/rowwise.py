@@ -20,7 +20,7 @@ __all__ = ["clean_with_preset", "clean_with_rules", "drop_duplicates_within", "h
 
 
 def drop_duplicates_within(df: DataFrame, columns: Sequence[str], event_time: str, delay: str) -> DataFrame:
-    """The first row of each key on a stream; a key is forgotten ``delay`` after its time."""
+    """The first row of each key on a stream; a key is forgotten ``delay`` after its time, a TIMESTAMP column."""
     if not df.isStreaming:
         raise ConfigError("a stream is needed; tables have drop_duplicates")
     names = [f.name for f in hashable(df, columns)]
