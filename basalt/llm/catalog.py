@@ -81,4 +81,10 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     from . import oracles
 
-    return {"op3_quality_rules": oracles.QUALITY_RULES, "op9_perspectives": oracles.PERSPECTIVES}
+    return {
+        "op3_quality_rules": oracles.QUALITY_RULES,
+        "op6_near_dedup": oracles.NEAR_DEDUP,
+        "op8_substring_dedup": oracles.SUBSTRING_DEDUP,
+        "op9_perspectives": oracles.PERSPECTIVES,
+        "op10_decontaminate": oracles.DECONTAMINATE,
+    }
