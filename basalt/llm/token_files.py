@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from struct import pack
 from uuid import uuid4
 
 import numpy as np
@@ -39,6 +40,8 @@ MAGIC, BITS, BLOCK = b"BDAC0001", 8, 512
 #: Tokens after which a file is closed; bounds what a writer and a reader hold.
 FILE_TOKENS = 4_000_000
 NULL_ID = -(1 << 63)
+#: Tasks that read files, if there are as many files.
+READ_TASKS = 20_000
 
 
 def encode_dac(doc_ids: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> bytes:
@@ -148,7 +151,7 @@ def _get(uri: str) -> bytes:
 
 def _writer(path: str, folder: str, end_id: int, file_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, encoder = TaskContext.get().partitionId(), UnitEncoder(path, lambda ids: np.array(ids, "<u4").tobytes())
+        part, encoder = TaskContext.get().partitionId(), UnitEncoder(path, lambda ids: pack(f"<{len(ids)}I", *ids))
         last, count, doc_ids, pieces, sizes, total = np.array([end_id], "<u4").tobytes(), 0, [], [], [], 0
 
         def close() -> pa.RecordBatch:
@@ -211,4 +214,6 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                     schema=_DOCS,
                 )
 
-    return manifest.select("file", "start").repartition("file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # A number of tasks is given: by their own small size the rows would all go to one.
+    tasks = min(max(manifest.count(), 1), READ_TASKS)
+    return manifest.select("file", "start").repartition(tasks, "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
