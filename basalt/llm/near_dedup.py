@@ -42,6 +42,8 @@ PERMS = BANDS * ROWS
 FLOOR = 0.55
 #: Bytes of shingle hashes in a chunk of a family.
 CHUNK_BYTES = 500_000
+#: Words that are hashed at once.
+STEP = 1 << 16
 
 # Bytes: A-Z lowered, the characters between words as spaces.
 _WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if b in (0x20, *range(9, 14)) else b for b in range(256))
@@ -70,18 +72,22 @@ def _powers_to(n: int) -> np.ndarray:
     return _powers[:n]
 
 
+def _word_hashes(parts: list[bytes]) -> np.ndarray:
+    """A word's hash: its polynomial, summed from its first byte on."""
+    flat = np.frombuffer(b"".join(parts), np.uint8)
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    begins = np.cumsum(sizes) - sizes
+    place = np.arange(len(flat)) - np.repeat(begins, sizes)
+    return _mix(np.add.reduceat(_BYTE[flat] * _powers_to(int(sizes.max()))[place], begins) + sizes.astype(np.uint64))
+
+
 def shingles(text: str) -> np.ndarray:
     """The sorted distinct shingle hashes of a text."""
     data = text.encode("utf-8", "surrogatepass").translate(_WORDS)
     parts = data.split()
     if not parts:
         return np.zeros(0, np.uint64)
-    flat = np.frombuffer(b"".join(parts), np.uint8)
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    ends = np.cumsum(sizes)
-    # A word's hash: its polynomial, summed from its first byte on.
-    place = np.arange(len(flat)) - np.repeat(ends - sizes, sizes)
-    hashes = _mix(np.add.reduceat(_BYTE[flat] * _powers_to(int(sizes.max()))[place], ends - sizes) + sizes.astype(np.uint64))
+    hashes = np.concatenate([_word_hashes(parts[i : i + STEP]) for i in range(0, len(parts), STEP)])
     if len(parts) < SHINGLE:
         return _combine([hashes[i : i + 1] for i in range(len(parts))])
     return np.unique(_combine([hashes[i : len(parts) - SHINGLE + 1 + i] for i in range(SHINGLE)]))

@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from .common import backquoted
 
 MARK = "▁"
-#: Entries of the memories of units and of neighbours, of each of two generations.
-UNITS_KEPT, PAIRS_KEPT = 100_000, 250_000
+#: Entries of the memories of units and of neighbours, of each of two generations; the longest unit kept.
+UNITS_KEPT, PAIRS_KEPT, LONGEST = 100_000, 250_000, 64
 
 
 class Kept(dict):
@@ -54,6 +54,8 @@ class Kept(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+        if len(key) > LONGEST:
+            return value
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
@@ -116,29 +118,34 @@ class PieceTransducer:
         return parts
 
     def _agree(self, pair: tuple[str, str]) -> bool:
-        return self.merged(pair[0] + pair[1]) == list(pair)
+        """Whether the arc of the second piece weighs 0 behind the first (empty: behind the begin or a fallback)."""
+        return self.merged(pair[0] + pair[1]) == [p for p in pair if p]
 
     def shortest_path(self, unit: str) -> list[int]:
         """The ids along the one path of finite weight through the composition with a unit."""
-        n = len(unit)
-        arcs: list[list] = [[] for _ in range(n)]
-        for end, arc in self.arcs.iter(unit):
-            arcs[end].append(arc)
-        # state[j]: piece of the finite path to position j (empty: begin or fallback), back[j]: where it began.
+        n, agree, ids = len(unit), self.agree, self.ids
+        # state[j]: piece of the finite path to position j (empty: begin or fallback), back[j]: where its arc began.
         state: list[str | None] = [None] * (n + 1)
-        state[0], back, out = "", [0] * (n + 1), [()] * (n + 1)
-        agree = self.agree
-        for end in range(n):
-            for size, piece, i in arcs[end]:
-                begin = end + 1 - size
-                before = state[begin]
-                if before is not None and (not before or agree[before, piece]):
-                    state[end + 1], back[end + 1], out[end + 1] = piece, begin, (i,)
-                    break
-            else:
-                if unit[end] not in self.ids and state[end] is not None:
-                    state[end + 1], back[end + 1] = "", end
-                    out[end + 1] = tuple(self.byte_ids[b] for b in unit[end].encode("utf-8", "replace"))
+        state[0], back, out, final = "", [0] * (n + 1), [()] * (n + 1), 0
+
+        def settle(to: int) -> None:
+            """Fallback arcs where no piece arc came to."""
+            nonlocal final
+            for at in range(final, to):
+                if state[at + 1] is None and state[at] is not None and unit[at] not in ids:
+                    state[at + 1], back[at + 1] = "", at
+                    out[at + 1] = tuple(self.byte_ids[b] for b in unit[at].encode("utf-8", "replace"))
+            final = to
+
+        for last, (size, piece, i) in self.arcs.iter(unit):
+            if last > final:
+                settle(last)
+            end = last + 1
+            if state[end] is None:
+                before = state[end - size]
+                if before is not None and agree[before, piece]:
+                    state[end], back[end], out[end] = piece, end - size, (i,)
+        settle(n)
         path, at = [], n
         while at:
             path.append(out[at])

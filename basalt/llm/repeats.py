@@ -30,6 +30,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+_BYTE = mix(np.arange(256, dtype=U) + U(0x51))
+
+
+def mixed(symbols: np.ndarray) -> np.ndarray:
+    """Bytes become mixed symbols only where they are worked on; other symbols are mixed already."""
+    return _BYTE[symbols] if symbols.dtype == np.uint8 else symbols
+
+
 _powers: dict = {}
 
 
@@ -89,7 +97,7 @@ def _joined(parts: list[Contexts]) -> Contexts:
 
 
 def contexts(texts: list[np.ndarray], length: int, k: int) -> Contexts:
-    """The contexts of texts, each an array of mixed 64-bit symbols. Long texts go in steps that overlap by a window; a context cut there is two."""
+    """The contexts of texts, each an array of bytes or of mixed 64-bit symbols. Long texts go in steps that overlap by a window; a context cut there is two."""
     parts, held, size = [], [], 0
 
     def flush():
@@ -113,7 +121,7 @@ def _of_pieces(pieces: list[tuple[int, int, np.ndarray]], length: int, k: int) -
     symbols = np.concatenate([p for *_, p in pieces]) if len(pieces) > 1 else pieces[0][2]
     sizes = np.array([len(p) for *_, p in pieces], np.int64)
     begins = np.cumsum(sizes) - sizes
-    prefix = Prefix(symbols)
+    prefix = Prefix(mixed(symbols))
     grams = prefix.grams(k)
     keyed = (grams & ~((U(1) << PLACE) - U(1))) | np.arange(len(grams), dtype=U)
     place = (_least(keyed, length - k + 1) & ((U(1) << PLACE) - U(1))).astype(np.int64)
@@ -141,7 +149,7 @@ def windows(symbols: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     while at < len(starts):
         low = int(starts[at])
         to = int(np.searchsorted(starts, low + STEP))
-        prefix = Prefix(symbols[low : int(starts[to - 1]) + length])
+        prefix = Prefix(mixed(symbols[low : int(starts[to - 1]) + length]))
         here = starts[at:to] - low
         out[at:to] = prefix.of(here, here + length)
         at = to
@@ -150,7 +158,7 @@ def windows(symbols: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
 
 def covered(n: int, first: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
     """Whether each of n symbols is in a window that starts in one of the ranges."""
-    steps = np.zeros(n + 1, np.int64)
+    steps = np.zeros(n + 1, np.int32)
     np.add.at(steps, first, 1)
     np.add.at(steps, last + length, -1)
-    return np.cumsum(steps[:-1]) > 0
+    return np.cumsum(steps[:-1], dtype=np.int32) > 0

@@ -37,7 +37,8 @@ ASSIGN_HINTS = ("passw", "secret", "token", "api_key", "apikey")
 
 SENSITIVE = re.compile(r"(?:passw|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|authorization|bearer)", re.IGNORECASE | re.ASCII)
 SENSITIVE_HINTS = (*ASSIGN_HINTS, "passphrase", "key", "credential", "authorization", "bearer")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 #: Characters behind a sensitive word in which a candidate begins; characters around it that prime the compressor.
 REACH, AROUND = 64, 256
 #: Marginal compressed bytes in percent of a candidate's length.
@@ -85,13 +86,13 @@ def novelty(text: str, start: int, end: int) -> int:
 def _novel(text: str) -> Iterator[tuple[int, int]]:
     last = -1
     for word in SENSITIVE.finditer(text):
-        line = text.find("\n", word.end())
-        stop = min(len(text) if line < 0 else line, word.end() + REACH)
-        for found in CANDIDATE.finditer(text, word.end()):
+        line = text.find("\n", word.end(), word.end() + REACH)
+        stop = line if line >= 0 else word.end() + REACH
+        # The search ends where a run that begins in reach must have shown; the run itself goes on.
+        for begin in CANDIDATE.finditer(text, word.end(), stop + LEAST):
+            found = CANDIDATE.match(text, begin.start())
             start, end = found.span()
-            if start >= stop:
-                break
-            if start <= last:
+            if start >= stop or start <= last:
                 continue
             last = start
             kinds = sum(bool(re.search(p, found[0])) for p in ("[0-9]", "[a-z]", "[A-Z]"))

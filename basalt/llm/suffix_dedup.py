@@ -52,15 +52,13 @@ from .packs import (
     texts_in,
     unique_contexts,
 )
-from .repeats import contexts, covered, mix
+from .repeats import contexts, covered
 
 LENGTH, ANCHOR = 200, 96
 
-_SYMBOL = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x51))
-
 
 def byte_symbols(text: bytes) -> np.ndarray:
-    return _SYMBOL[np.frombuffer(text, np.uint8)]
+    return np.frombuffer(text, np.uint8)
 
 
 def _ask_contexts(length: int, k: int, parts: int):
