@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError, SchemaMismatch
+from ..metrics import instrumented
 from ..resolve import col, quoted, registered, string_field
 
 # Escapes that mean the same in both dialects, and Unicode white space.
@@ -213,11 +214,13 @@ def _cleaned(df: DataFrame, column: str, rules: Sequence[CleanRule | tuple[str,
     return df.select(*[quoted(n) for n in df.columns], made.alias(output_column))
 
 
+@instrumented
 def clean_with_rules(df: DataFrame, column: str, rules: Sequence[CleanRule | tuple[str, str]], output_column: str | None = None) -> DataFrame:
     """df with the column cleaned, in place or as a last column."""
     return _cleaned(df, column, rules, output_column)
 
 
+@instrumented
 def clean_with_preset(df: DataFrame, column: str, name: str, output_column: str | None = None, version: str = "v1") -> DataFrame:
     """The same with a preset's rule."""
     return _cleaned(df, column, [preset(name, version)], output_column)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import SchemaMismatch, UnsupportedType
+from ..metrics import instrumented
 from ..resolve import col, registered, require_conf, string_field
 
 VERSIONS = {"v1": None}
@@ -99,6 +100,7 @@ def normalize_stats(df: DataFrame, column: str, schema: T.StructType | str, vers
     return NormalizeStats(n, malformed, dict(zip(schema.names, mismatches, strict=True)))
 
 
+@instrumented
 def normalize_json(df: DataFrame, column: str, schema: T.StructType | str, version: str = "v1") -> tuple[DataFrame, NormalizeStats]:
     """The target columns, and the counts (which run a job)."""
     return normalize_columns(df, column, schema, version), normalize_stats(df, column, schema, version)

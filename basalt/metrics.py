@@ -80,6 +80,15 @@ def measure(function: str, **fields: Any) -> Iterator[dict]:
                 _sink(event)
 
 
+def counted(df):
+    """df, and an Observation that has its ``rows`` once an action of the caller's has run over it."""
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
 def instrumented(function: Callable) -> Callable:
     """The function with an event for each call; rows of the result where they are known."""
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import UnsupportedType
+from ..metrics import instrumented
 from ..resolve import col, field, fields, quoted, require_conf
 
 FUNCTIONS = ("count", "sum", "mean", "avg", "min", "max")
@@ -81,6 +82,7 @@ def _expression(df: DataFrame, column: str, function: str) -> Column:
     return F.min(c) if function == "min" else F.max(c)
 
 
+@instrumented
 def aggregate(df: DataFrame, group_by: Sequence[str], aggregations: Sequence[tuple[str, str, str]]) -> DataFrame:
     """The group columns, then one column for each (column, function, alias).
 

@@ -11,11 +11,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..metrics import instrumented
 from ..resolve import col, fields, hashable, quoted
 
 _ROW = "__row"
 
 
+@instrumented
 def drop_duplicates(df: DataFrame, columns: Sequence[str], order_by: Sequence[str] | None = None, max_distinct_keys: int | None = None) -> DataFrame:
     """One row for each different key.
 

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..metrics import instrumented
 from ..resolve import col, field
 from .hashing import fingerprint_of, fingerprint_sums, row_hash
 from .schema_check import SchemaDiff, validate_schema
@@ -45,6 +46,7 @@ def _same_rows(a: DataFrame, b: DataFrame) -> bool:
     return tagged.groupBy(*[col(n) for n in names]).agg(F.sum("__n").alias("__n")).where("__n <> 0").isEmpty()
 
 
+@instrumented
 def check_equivalence(
     actual: DataFrame, expected: DataFrame, columns: Sequence[str] | None = None, allow_numeric_widening: bool = False, hash_version: str = "v1", exact: bool = False
 ) -> EquivalenceReport:

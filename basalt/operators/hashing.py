@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import SchemaMismatch
+from ..metrics import instrumented
 from ..resolve import col, hashable, registered
 
 #: Start of a version's hashes and fingerprints, from its name.
@@ -38,6 +39,7 @@ def row_hash(df: DataFrame, columns: Sequence[str], version: str = "v1") -> Colu
     return F.xxhash64(F.lit(seed), *parts)
 
 
+@instrumented
 def hash_rows(df: DataFrame, columns: Sequence[str], output_column: str = "row_hash", version: str = "v1") -> DataFrame:
     """df with the hash as its last column."""
     if output_column in df.columns:
@@ -45,6 +47,7 @@ def hash_rows(df: DataFrame, columns: Sequence[str], output_column: str = "row_h
     return df.select("*", row_hash(df, columns, version).alias(output_column))
 
 
+@instrumented
 def hash_rows_all_columns(df: DataFrame, output_column: str = "row_hash", version: str = "v1") -> DataFrame:
     return hash_rows(df, df.columns, output_column, version)
 
@@ -61,12 +64,14 @@ def fingerprint_of(sums: Sequence[int], version: str = "v1") -> int:
     return (registered(_SEEDS, version, "hash") + total) % _WIDTH
 
 
+@instrumented
 def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None, version: str = "v1") -> int:
     """The wrapped sum of all row hashes: the same for any order of rows, another if a row comes once more. An empty table has the version's seed."""
     hashed = df.select(row_hash(df, columns or df.columns, version).alias("h"))
     return fingerprint_of(hashed.agg(*fingerprint_sums(F.col("h"))).first(), version)
 
 
+@instrumented
 def schema_fingerprint(schema: DataFrame | T.StructType, version: str = "v1") -> int:
     """A digest of names, types and nullability in order; each part with its length."""
     registered(_SEEDS, version, "hash")

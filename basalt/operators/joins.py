@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError, SchemaMismatch, TypeMismatch
+from ..metrics import instrumented
 from ..resolve import fields, quoted
 
 KINDS = ("inner", "left", "right", "full")
@@ -49,11 +50,13 @@ def _joined(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_k
     return left.join(right, condition, how)
 
 
+@instrumented
 def join(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Rows whose keys are equal and not null; how: inner, left, right or full."""
     return _joined(left, right, left_keys, right_keys, how, False)
 
 
+@instrumented
 def join_null_safe(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Rows whose keys are equal, null counting as equal to null."""
     return _joined(left, right, left_keys, right_keys, how, True)
@@ -67,6 +70,7 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
+@instrumented
 def broadcast_join(df: DataFrame, small: DataFrame, left_keys: Sequence[str], right_keys: Sequence[str], how: str = "inner", max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """An inner or left join that sends ``small`` to every executor, if its estimated size allows it.
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ..errors import SchemaMismatch
+from ..metrics import instrumented
 
 # The types that may stand where a wider one is expected.
 WIDENINGS: dict[type, tuple[type, ...]] = {
@@ -67,6 +68,7 @@ def is_numeric_widening(expected: T.DataType, actual: T.DataType) -> bool:
     return type(actual) in WIDENINGS.get(type(expected), ())
 
 
+@instrumented
 def validate_schema(actual: Schema, expected: Schema, allow_numeric_widening: bool = False) -> SchemaDiff:
     """How the actual schema differs from the expected one, by exact names.
 

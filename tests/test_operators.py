@@ -307,6 +307,22 @@ def test_metrics():
     assert called["rows"] == 2 and metrics.row_count(3) is None and metrics.row_count(pa.table({"a": [1]})) == 1
 
 
+def test_operators_are_instrumented(spark, sales):
+    events = []
+    metrics.enable(events.append)
+    try:
+        aggregate(sales, [], [("amount", "sum", "s")])
+        with pytest.raises(UnknownColumn):
+            drop_duplicates(sales, ["nope"])
+        table, seen = metrics.counted(sales)
+        with metrics.measure("write") as event:
+            table.write.format("noop").mode("overwrite").save()
+            event["rows"] = seen.get["rows"]
+    finally:
+        metrics.disable()
+    assert [(e["function"], e["status"], e.get("rows")) for e in events] == [("aggregate", "ok", None), ("drop_duplicates", "error", None), ("write", "ok", 5)]
+
+
 def test_metrics_sinks(tmp_path, capsys):
     path = tmp_path / "events.jsonl"
     for sink in (str(path), "stdout"):
