@@ -16,7 +16,8 @@ result. Weights by rank alone would give a unigram reading of the model, which i
 another segmentation.
 
 Inputs are composed unit by unit: no piece has a mark behind another character, so
-no arc crosses the begin of a run of marks. Results of units are kept.
+no arc crosses the begin of a run of marks, and none joins two characters that are
+neighbours in no piece. Results of units are kept.
 
 Decoding runs the transducer backwards: pieces to characters, runs of byte ids to
 UTF-8 (what is no UTF-8 becomes U+FFFD byte by byte), marks to spaces, without the
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -93,8 +95,11 @@ class PieceTransducer:
             raise ValueError("a piece has a mark behind another character")
         self.arcs = ahocorasick.Automaton()
         for piece, i in self.ids.items():
-            self.arcs.add_word(piece, (len(piece), piece, i))
+            self.arcs.add_word(piece, (len(piece), piece, (i,)))
         self.arcs.make_automaton()
+        self.alphabet = {c for p in self.ids for c in p}
+        #: Neighbours in some piece; between any others every segmentation has a cut.
+        self.joined = {pair for p in self.ids for pair in zip(p, p[1:], strict=False)}
         self.agree = Kept(PAIRS_KEPT, self._agree)
         self.units = Kept(UNITS_KEPT, self._unit)
         sizes = np.array([len(t) for t in self.texts], np.int64)
@@ -123,37 +128,41 @@ class PieceTransducer:
 
     def shortest_path(self, unit: str) -> list[int]:
         """The ids along the one path of finite weight through the composition with a unit."""
-        n, agree, ids = len(unit), self.agree, self.ids
-        # state[j]: piece of the finite path to position j (empty: begin or fallback), back[j]: where its arc began.
-        state: list[str | None] = [None] * (n + 1)
-        state[0], back, out, final = "", [0] * (n + 1), [()] * (n + 1), 0
-
-        def settle(to: int) -> None:
-            """Fallback arcs where no piece arc came to."""
-            nonlocal final
-            for at in range(final, to):
-                if state[at + 1] is None and state[at] is not None and unit[at] not in ids:
-                    state[at + 1], back[at + 1] = "", at
-                    out[at + 1] = tuple(self.byte_ids[b] for b in unit[at].encode("utf-8", "replace"))
-            final = to
-
-        for last, (size, piece, i) in self.arcs.iter(unit):
-            if last > final:
-                settle(last)
+        agree, n = self.agree, len(unit)
+        # best[j]: last arc of the finite path to position j: its piece (empty: begin or fallback), its begin, its ids.
+        best: list[tuple | None] = [None] * (n + 1)
+        best[0] = ("", 0, ())
+        final = 0 if not self.alphabet.issuperset(unit) else n
+        for last, (size, piece, ids) in self.arcs.iter(unit):
+            if final < last:
+                self._fall_back(unit, best, final, last)
+                final = last
             end = last + 1
-            if state[end] is None:
-                before = state[end - size]
-                if before is not None and agree[before, piece]:
-                    state[end], back[end], out[end] = piece, end - size, (i,)
-        settle(n)
-        path, at = [], n
-        while at:
-            path.append(out[at])
-            at = back[at]
+            if best[end] is None:
+                before = best[end - size]
+                if before is not None and agree[before[0], piece]:
+                    best[end] = (piece, end - size, ids)
+        self._fall_back(unit, best, final, n)
+        path = []
+        while n:
+            _, n, ids = best[n]
+            path.append(ids)
         return [i for ids in reversed(path) for i in ids]
 
+    def _fall_back(self, unit: str, best: list, begin: int, end: int) -> None:
+        """Fallback arcs in a range where no piece arc came."""
+        for at in range(begin, end):
+            if best[at + 1] is None and best[at] is not None and unit[at] not in self.ids:
+                best[at + 1] = ("", at, tuple(self.byte_ids[b] for b in unit[at].encode("utf-8", "replace")))
+
     def _unit(self, unit: str) -> bytes:
-        return np.array(self.shortest_path(unit), "<u4").tobytes()
+        joined = self.joined
+        # Words of letters are rarely cut, and need not be.
+        cuts = [] if unit.lstrip(MARK).isalpha() else [i for i, pair in enumerate(zip(unit, unit[1:], strict=False), 1) if pair not in joined]
+        if cuts:
+            return b"".join([self.units[unit[a:b]] for a, b in zip([0, *cuts], [*cuts, len(unit)], strict=True)])
+        ids = self.shortest_path(unit)
+        return pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text."""
