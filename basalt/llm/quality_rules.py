@@ -62,6 +62,7 @@ def _lines(text: Column) -> Column:
 
 def _measured(df: DataFrame, text: str) -> DataFrame:
     """df with the measures; each array is a column of its own, so it is computed once."""
+    before = [F.col(backquoted(c)) for c in df.columns if c != text]
     words, lines, grams, order = (f"__{x}" for x in ("words", "lines", "grams", "order"))
     t = F.coalesce(F.col(backquoted(text)), F.lit(""))
     df = df.withColumn(words, _words(t)).withColumn(lines, _lines(t))
@@ -79,8 +80,7 @@ def _measured(df: DataFrame, text: str) -> DataFrame:
     repeated = F.filter(F.col(order), lambda g, i: (g["gram"] == gram(i + 1)) | (g["gram"] == gram(i - 1)))
     covered = F.array_distinct(F.flatten(F.transform(repeated, lambda g: F.array(g["at"], g["at"] + 1, g["at"] + 2))))
     stops = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return df.select(
-        "*",
+    measures = F.struct(
         n.cast("long").alias("n_words"),
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(t, rf"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
@@ -88,7 +88,10 @@ def _measured(df: DataFrame, text: str) -> DataFrame:
         F.coalesce(F.size(covered), F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size(lines).cast("long").alias("n_lines"),
         F.size(F.filter(F.col(words), lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
-    ).drop(words, lines, grams, order)
+    )
+    # Out of a one-row generator: a filter on a measure stays above it. Pushed through the
+    # projections, it would repeat their arrays inside its own loops, at a quadratic cost.
+    return df.select(*before, F.inline(F.array(measures)))
 
 
 def _verdict(thresholds: tuple[Threshold, ...]) -> Column:

@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm.common import pick, shared_dir, table, written
+from basalt.llm.common import pick, shared_dir, ship, table, written
 from basalt.llm.decontaminate import decontaminate
 from basalt.llm.near_dedup import near_dedup
 from basalt.llm.piece_codec import encode_pieces
@@ -37,6 +37,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     # Rows that repeat a doc_id are one document of the graph; a doc_id with a smaller one in its group goes.
     return _without(docs, near_dedup(docs).where(~F.col("kept")))
 
@@ -46,11 +47,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     # n_chars follows the text.
     return redact_secrets(pick(docs, *COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return encode_pieces(docs, MODEL, keep=("doc_id", "lang", "source")).withColumn("n_pieces", F.size("ids").cast("long"))
 
 
