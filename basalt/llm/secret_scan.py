@@ -2,9 +2,9 @@
 
 Base kinds are found by pattern. The fourth kind, ``novel``, are long strings close
 behind a sensitive word that a compressor cannot explain: primed with dictionaries
-of identifiers and of the text around (without the string), zstandard needs about
-one byte for each of its characters. Identifiers, paths, dates and repeated names
-cost a fraction of that.
+of identifiers and of the text around (without the string and other copies of it),
+zstandard needs about one byte for each of its characters. Identifiers, paths and
+dates cost a fraction of that.
 
 Defined results: null and empty texts have no spans; every row is scanned by
 itself, so repeated rows agree; positions are code points, ends exclusive; an empty
@@ -41,6 +41,8 @@ LEAST = 16
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 #: Characters behind a sensitive word in which a candidate begins; characters around it that prime the compressor.
 REACH, AROUND = 64, 256
+#: Signs at the ends of a candidate that another copy of the same secret may lack.
+EDGES = "+/_=-"
 #: Marginal compressed bytes in percent of a candidate's length.
 NOVELTY = 75
 
@@ -75,12 +77,28 @@ def _compressed(data: bytes) -> int:
     return len(_compressors["one"].compress(data))
 
 
+def _added(before: str, own: str, behind: str) -> int:
+    base = (before + "\n" + behind + "\n").encode("utf-8", "replace")
+    data = own.encode("utf-8", "replace")
+    return 100 * (_compressed(base + data) - _compressed(base)) // len(data)
+
+
 def novelty(text: str, start: int, end: int) -> int:
     """Bytes that the string adds to its compressed surroundings, in percent of its length."""
-    around = text[max(0, start - AROUND) : start] + "\n" + text[end : end + AROUND] + "\n"
-    base = around.encode("utf-8", "replace")
-    own = text[start:end].encode()
-    return 100 * (_compressed(base + own) - _compressed(base)) // len(own)
+    return _added(text[max(0, start - AROUND) : start], text[start:end], text[end : end + AROUND])
+
+
+def novelty_alone(text: str, start: int, end: int) -> int:
+    """Novelty where other copies of the string are blanked, so that none explains another.
+
+    Copies count without the signs at their ends, and those cut by the edge of the surroundings too.
+    """
+    own = text[start:end]
+    core = own.strip(EDGES) or own
+    blank, more = " " * len(core), len(core) - 1
+    before = text[max(0, start - AROUND - more) : start].replace(core, blank)[-AROUND:]
+    behind = text[end : end + AROUND + more].replace(core, blank)[:AROUND]
+    return _added(before, own, behind)
 
 
 def _novel(text: str) -> Iterator[tuple[int, int]]:
@@ -96,7 +114,7 @@ def _novel(text: str) -> Iterator[tuple[int, int]]:
                 continue
             last = start
             kinds = sum(bool(re.search(p, found[0])) for p in ("[0-9]", "[a-z]", "[A-Z]"))
-            if kinds >= 2 and novelty(text, start, end) >= NOVELTY:
+            if kinds >= 2 and novelty_alone(text, start, end) >= NOVELTY:
                 yield start, end
 
 

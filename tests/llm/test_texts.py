@@ -13,7 +13,7 @@ import sentencepiece
 from basalt.llm.perspectives import perspectives, views
 from basalt.llm.piece_codec import decode_pieces, encode_pieces, piece_codec, transducer
 from basalt.llm.quality_rules import quality_rules
-from basalt.llm.secret_scan import novelty, redact_secrets, secret_scan, spans_of, written_spans
+from basalt.llm.secret_scan import novelty, redact_secrets, redacted, secret_scan, spans_of, written_spans
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 ODD = [None, "", " ", "\n\n", "a", "a b c a b c a b c", "x\ny\nx \nx\n\nx", "# $ % | <a> & *", "the " * 60, "ñ 漢字 🙂   z", "one two three " * 40, "tab\tvt\x0bff\x0ccr\rend", "long " + "w" * 5000]
@@ -93,6 +93,15 @@ def test_novelty():
     assert novelty(known, 42, len(known)) < 50
 
 
+def test_copies_do_not_explain_each_other():
+    r = random.Random(9)
+    for n in (20, 32, 40, 64):
+        key = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+        for text in (f"Authorization: Bearer {key}\n" * 2, f"credential={key}\nAuthorization: Bearer {key}\n", f"bearer {key} " + "of the " * 34 + f"bearer {key}"):
+            assert redacted(text, spans_of(text)).count(key) == 0, text
+            assert [s[2] for s in spans_of(text)] == ["novel"] * 2, text
+
+
 def test_redaction(spark):
     rows = [(1, "a password=hunter22 b", "k"), (2, None, None), (3, "clean", "k"), (4, "token=deadbeefdeadbeefdeadbeefdead", "k")]
     got = sorted(map(tuple, redact_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()), key=str)
