@@ -1,10 +1,13 @@
 """Operator 5, secret scans: patterns of known kinds, and zstandard novelty in sensitive places.
 
-Base kinds are found by pattern. The fourth kind, ``novel``, are long strings close
-behind a sensitive word that a compressor cannot explain: primed with dictionaries
+Base kinds are found by pattern. The fourth kind, ``novel``, are strings on both
+sides of a sensitive word, over lines, that a compressor cannot explain: primed with dictionaries
 of identifiers and of the text around (without the string and other copies of it),
 zstandard needs about one byte for each of its characters. Identifiers, paths and
-dates cost a fraction of that.
+dates cost a fraction of that. Candidates are quoted strings and runs of ASCII
+without white space, whole or in parts, from 8 characters if they hold symbols or
+are given as the word's value, else from 16. Quoted strings with white space are
+read as their words.
 
 Defined results: null and empty texts have no spans; every row is scanned by
 itself, so repeated rows agree; positions are code points, ends exclusive; an empty
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,12 +39,29 @@ HEX = re.compile(rf"[0-9a-f]{{{HEX_LEAST},}}")
 #: What a lower-cased text must hold for ASSIGN to match.
 ASSIGN_HINTS = ("passw", "secret", "token", "api_key", "apikey")
 
-SENSITIVE = re.compile(r"(?:passw|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|authorization|bearer)", re.IGNORECASE | re.ASCII)
+_WORD = r"(?:passw|passphrase|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|credential|authorization|bearer)"
+SENSITIVE = re.compile(_WORD, re.IGNORECASE | re.ASCII)
 SENSITIVE_HINTS = (*ASSIGN_HINTS, "passphrase", "key", "credential", "authorization", "bearer")
 LEAST = 16
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
-#: Characters behind a sensitive word in which a candidate begins; characters around it that prime the compressor.
-REACH, AROUND = 64, 256
+#: Least length of fields with symbols.
+SHORT = 8
+#: Quoted strings without white space, or runs of ASCII without white space and quotes.
+FIELD = re.compile(rf""" "([!#-~]{{{SHORT},}}+)" | '([!-&(-~]{{{SHORT},}}+)' | `([!-_a-~]{{{SHORT},}}+)` | [!#-&(-_a-~]{{{SHORT},}}+ """, re.VERBOSE)
+#: What parts of a field are made of; punctuation of configuration, code and URLs divides them.
+PART = re.compile(rf"""[^\s=:&?,;|/@(){{}}<>\[\]"'`\\]{{{SHORT},}}+""")
+#: Punctuation that names, paths, numbers and dates have isn't counted as a symbol.
+SYMBOL = re.compile(r"[!#$%&*+?@^~|\\]")
+OPENING, CLOSING = "([{<,;:=-", ")]}>,;:."
+#: The name before a value in the same field; a sensitive word and what may stand between it and its value.
+NAME = re.compile(r"[-A-Za-z_.]++(?::=|=>|[=:])")
+VALUED = re.compile(_WORD + r"[\w.-]*[\"'`\]]*\s*(?::=|=>|[:=])\s*[>|]?[-+]?\s*[\"'`]?$", re.IGNORECASE | re.ASCII)
+VALUE_REACH = 96
+PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----((?:(?!-----).)*+)-----END", re.DOTALL)
+#: Characters on both sides of a sensitive word, or behind a secret, in which fields are read; characters around a candidate that prime the compressor.
+REACH, AROUND = 256, 256
+#: Longer candidates are measured by the mean of pieces of this length: long texts of few different characters gain from entropy coding alone.
+PIECE = 48
 #: Signs at the ends of a candidate that another copy of the same secret may lack.
 EDGES = "+/_=-"
 #: Marginal compressed bytes in percent of a candidate's length.
@@ -65,22 +86,21 @@ IDENTIFIERS = (
     "http://www.example.com/ https://api.example.org/v1/ /usr/local/lib/ /var/log/ .config .json .yaml"
 )
 
-_compressors: dict = {}
-
-
-def _compressed(data: bytes) -> int:
-    if not _compressors:
-        import zstandard
-
-        primer = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        _compressors["one"] = zstandard.ZstdCompressor(level=9, dict_data=primer, write_content_size=False, write_checksum=False, write_dict_id=False)
-    return len(_compressors["one"].compress(data))
+#: Words of the dictionary, before a candidate, so that the compressor's headers aren't counted as the candidate's.
+LEAD = b"certificate refresh_token environment "
 
 
 def _added(before: str, own: str, behind: str) -> int:
-    base = (before + "\n" + behind + "\n").encode("utf-8", "replace")
+    """Bytes of own in percent; what is around is a dictionary and not part of the input, so that its letters' frequencies explain nothing."""
+    import zstandard
+
+    known = (IDENTIFIERS + "\n" + behind + "\n" + before).encode("utf-8", "replace")
+    primer = zstandard.ZstdCompressionDict(known, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    compress = zstandard.ZstdCompressor(level=9, dict_data=primer, write_content_size=False, write_checksum=False, write_dict_id=False).compress
     data = own.encode("utf-8", "replace")
-    return 100 * (_compressed(base + data) - _compressed(base)) // len(data)
+    step = -(-len(data) // -(-len(data) // PIECE))
+    pieces = [data[i : i + step] for i in range(0, len(data), step)]
+    return 100 * (sum(len(compress(LEAD + x)) for x in pieces) - len(pieces) * len(compress(LEAD))) // len(data)
 
 
 def novelty(text: str, start: int, end: int) -> int:
@@ -101,21 +121,79 @@ def novelty_alone(text: str, start: int, end: int) -> int:
     return _added(before, own, behind)
 
 
-def _novel(text: str) -> Iterator[tuple[int, int]]:
-    last = -1
-    for word in SENSITIVE.finditer(text):
-        line = text.find("\n", word.end(), word.end() + REACH)
-        stop = line if line >= 0 else word.end() + REACH
-        # The search ends where a run that begins in reach must have shown; the run itself goes on.
-        for begin in CANDIDATE.finditer(text, word.end(), stop + LEAST):
-            found = CANDIDATE.match(text, begin.start())
-            start, end = found.span()
-            if start >= stop or start <= last:
-                continue
-            last = start
-            kinds = sum(bool(re.search(p, found[0])) for p in ("[0-9]", "[a-z]", "[A-Z]"))
-            if kinds >= 2 and novelty_alone(text, start, end) >= NOVELTY:
-                yield start, end
+def _kinds(own: str) -> int:
+    """Of digits, small letters, capitals behind the first character and symbols, how many the string has."""
+    return bool(re.search("[0-9]", own)) + bool(re.search("[a-z]", own)) + bool(re.search("[A-Z]", own[1:])) + bool(SYMBOL.search(own))
+
+
+def _is_candidate(own: str, valued: bool) -> bool:
+    if CANDIDATE.fullmatch(own):
+        return sum(bool(re.search(p, own)) for p in ("[0-9]", "[a-z]", "[A-Z]")) >= 2
+    if len(own) < SHORT:
+        return False
+    if valued:
+        return _kinds(own) >= 2
+    # A bare short string near a word, but not given as its value, may be any name in code.
+    return _kinds(own) >= 3 and (len(own) >= LEAST or bool(SYMBOL.search(own) and re.search("[0-9]", own)))
+
+
+def _overlaps(spans: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether one of the spans, sorted and apart from each other, has a character in this range."""
+    i = bisect_left(spans, (end,))
+    return i > 0 and spans[i - 1][1] > start
+
+
+def _in_field(text: str, start: int, end: int, quoted: bool) -> Iterator[tuple[int, int]]:
+    """The secrets of a field: the field, or its value behind a name, whole if that is novel, else runs and parts of it."""
+    name = NAME.match(text, start, end)
+    begin = name.end() if name else start
+    valued = quoted or bool(VALUED.search(text[max(0, begin - VALUE_REACH) : begin]))
+    left, right = begin, end
+    if not quoted:
+        left += len(text[left:right]) - len(text[left:right].lstrip(OPENING))
+        right -= len(text[left:right]) - len(text[left:right].rstrip(CLOSING))
+    whole = [] if "://" in text[start:end] else [(left, right, valued)]
+    runs = [(*m.span(), False) for m in CANDIDATE.finditer(text, start, end)]
+    parts = [(*m.span(), valued and m.start() == left) for m in PART.finditer(text, start, end)]
+    found: list[tuple[int, int]] = []
+    for a, b, given in (*whole, *runs, *parts):
+        if not _overlaps(found, a, b) and _is_candidate(text[a:b], given) and novelty_alone(text, a, b) >= NOVELTY:
+            insort(found, (a, b))
+    yield from found
+
+
+def _novel(text: str) -> list[tuple[int, int]]:
+    found: list[tuple[int, int]] = []
+    field, ahead, at, stop = None, -1, 0, 0
+    for word in (*SENSITIVE.finditer(text), None):
+        # A secret carries the reach on, so that blocks of many lines are seen to their end.
+        while at < stop:
+            # The next field may lie far ahead: it is looked for once.
+            if ahead < at:
+                field = FIELD.search(text, at)
+                ahead = field.start() if field else len(text)
+            if not field or ahead >= stop:
+                break
+            at = field.end()
+            which = field.lastindex or 0
+            for start, end in _in_field(text, *field.span(which), which > 0):
+                found.append((start, end))
+                stop = max(stop, end + REACH)
+        if word:
+            # No field that ends in reach is cut in two: back to its begin, but not behind what was read.
+            reach = max(at, word.start() - REACH)
+            at = max(at, *[text.rfind(c, at, reach) + 1 for c in " \n\t"]) if reach > at else at
+            stop = max(stop, word.end() + REACH)
+    return _bodies(text, found)
+
+
+def _bodies(text: str, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Key bodies with a novel string in them as one span each, short last lines included; the other spans as they are."""
+    if "-----BEGIN" not in text:
+        return found
+    bodies = [(m.start(1) + len(m[1]) - len(m[1].lstrip()), m.start(1) + len(m[1].rstrip())) for m in PEM.finditer(text)]
+    bodies = [(a, b) for a, b in bodies if _overlaps(found, a, b)]
+    return sorted([*bodies, *[(a, b) for a, b in found if not _overlaps(bodies, a, b)]])
 
 
 def spans_of(text: str) -> list[tuple[int, int, str]]:
