@@ -5,8 +5,9 @@ group, decontamination drops contaminated documents, secret scans redact what th
 find, and the last stage encodes the texts. Every stage works on all that the one
 before kept; all but the last return the columns of documents.
 
-Counted as part of ``basalt.llm``; ids must identify the documents that are judged
-together, so rows of one doc_id share their fate.
+Counted as part of ``basalt.llm``; every row is judged by itself, under a number that
+the stage gives it, so null and repeated doc_ids are dropped like others. Of a group
+of near-duplicates the row of the smallest doc_id stays.
 """
 
 from __future__ import annotations
@@ -26,9 +27,14 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows of these doc_ids. The list is written, so that both sides of the join are exchanged alone."""
-    return docs.join(written(dropped.select("doc_id").distinct(), "dropped"), "doc_id", "left_anti").select(*COLUMNS)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a row number of its own for each row, null and repeated doc_ids too. Written, so that numbers stay when a task is run again."""
+    return written(pick(docs, *COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
+
+
+def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """rows without those of the dropped numbers. The list is written, so that both sides of the join are exchanged alone."""
+    return rows.join(written(dropped.select("row"), "dropped"), "row", "left_anti").select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,12 +44,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    # Rows that repeat a doc_id are one document of the graph; a doc_id with a smaller one in its group goes.
-    return _without(docs, near_dedup(docs).where(~F.col("kept")))
+    rows = _numbered(docs)
+    # Members of groups of two and more: those that aren't the smallest number of theirs, and these.
+    others = written(near_dedup(rows, key="row").where(~F.col("kept")).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")), "others")
+    members = others.unionByName(others.select(F.col("group").alias("row"), "group").distinct()).join(rows.select("row", "doc_id"), "row")
+    # The row of the smallest doc_id stays; null comes after all ids.
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    stays = members.groupBy("group").agg(F.min(order)["row"].alias("row"))
+    return _without(rows, members.join(stays.select("row"), "row", "left_anti"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    rows = _numbered(docs)
+    judged = decontaminate(rows, table(spark, sf_dir, "benchmark"), key="row")
+    return _without(rows, judged.where("contaminated").select(F.col("doc_id").alias("row")))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

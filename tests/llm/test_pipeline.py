@@ -35,3 +35,15 @@ def test_run(spark, tmp_path):
             clean = clean[:start] + "[SECRET]" + clean[end:]
         assert got[i].ids == LIBRARY.encode(clean)
     assert [name for name, _ in p.STAGES] == ["quality rules", "near-duplicates", "decontamination", "secrets", "pieces"]
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    items = [(1, " ".join(f"item word{i}" for i in range(10)))]
+    rows = [
+        (None, prose("c", 30) + " " + items[0][1], "en", "s", 1), (None, prose("a"), "en", "s", 2), (None, prose("a"), "en", "s", 3), (None, prose("b"), "en", "s", 4), (3, prose("b"), "en", "s", 5),
+        (5, prose("d"), "en", "s", 6), (5, prose("d"), "en", "s", 6), (5, prose("e"), "en", "s", 7), (4, prose("d") + " end", "en", "s", 8),
+    ]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = sorted(((r.doc_id, r.ids) for r in p.run(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted(((i, LIBRARY.encode(t)) for i, t in [(None, prose("a")), (3, prose("b")), (5, prose("e")), (4, prose("d") + " end")]), key=str)
