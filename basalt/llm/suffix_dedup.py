@@ -1,4 +1,7 @@
-"""Operator 4, suffix-array dedup: a radix sort of suffixes, most significant digit first, to a limited depth.
+"""Operator 4, suffix-array dedup, by hashes of windows in place of a radix sort of suffixes.
+
+No suffix is ordered by its bytes: the digits below are hashes, and equal hashes are
+taken for equal bytes. A sort by bytes would exchange a key for each of them.
 
 Suffixes are told apart only through the threshold's bytes: a suffix of depth
 ``length`` is a window. Passes sort by ever longer digits, and a group of one retires
