@@ -1,4 +1,7 @@
-"""Operator 8, substring dedup: a de Bruijn graph of word k-mers, compacted by Spark joins.
+"""Operator 8, substring dedup: repeated word k-mers, counted by Spark joins with their contexts.
+
+This takes the place of compacting a de Bruijn graph: no edge is joined to its
+successor, and windows are compared by hash, not by their text.
 
 Edges are k-mers of words; of all k-mers those are taken that are the anchor of some
 window (see ``repeats``), so every window of ``length`` words holds one. An edge
