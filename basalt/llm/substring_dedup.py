@@ -17,7 +17,7 @@ path through it to where the neighbouring edges begin.
   decide: their windows are compared, one by one, with those of each other context of
   the edge.
 
-Windows are named by two 64-bit fingerprints of word hashes.
+Windows are named by one 64-bit key, folded from two fingerprints of word hashes.
 
 Defined results: null and wordless texts have no words; repeated rows are two
 occurrences, so both lose what they share; texts shorter than the threshold lose

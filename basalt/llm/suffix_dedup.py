@@ -18,7 +18,8 @@ the most significant digit deals the keys to parts; a part sorts what it got and
 answers the packs that asked. A pack asks once for each different key, so a passage
 that fills a third of the corpus costs a part one entry a pack.
 
-Fingerprints are 64 bits a digit; two windows are taken for equal if two digits are.
+Fingerprints are 64 bits a digit; two windows are taken for equal if one 64-bit key,
+folded from two of them, is.
 
 Defined results: null counts as empty (nothing to remove); repeated rows are two
 occurrences, so both lose what they share; texts shorter than the threshold lose
