@@ -9,19 +9,23 @@ dotted name walks through objects, at any depth.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import SchemaMismatch, UnsupportedType
 from ..metrics import instrumented
 from ..resolve import col, registered, require_conf, string_field
+from ..resolve import field as field_of
 
 VERSIONS = {"v1": None}
 _TARGETS = {T.StringType: "string", T.LongType: "bigint", T.DoubleType: "double", T.BooleanType: "boolean"}
-_VALUE, _OK = "__json", "__ok"
+_TEXT, _VALUE, _OK = "__text", "__json", "__ok"
+#: Start of the numbers behind the texts.
+_SEAL = 0x62617361
 
 
 @dataclass(frozen=True)
@@ -51,17 +55,17 @@ def _path(name: str) -> str:
 def _parsed(df: DataFrame, column: str) -> DataFrame:
     """df with the value inside an array, and whether it is one well-formed object.
 
-    The parser stops behind a first value and would accept what follows; inside two
-    different brackets only a text that is a single value parses.
+    The parser stops behind a first value and would accept what follows, so the text
+    is parsed as the first of an array's two elements. The second is a number that
+    depends on the text: an array that the text itself closes or lengthens hasn't it.
     """
     c = col(column)
-    in_array = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
-    in_object = F.try_parse_json(F.concat(F.lit('{"x":'), c, F.lit("}")))
-    kind = F.schema_of_variant(F.variant_get(F.col(_VALUE), "$[0]", "variant"))
-    df = df.select("*", in_array.alias(_VALUE), in_object.isNotNull().alias(_OK))
-    second = F.try_variant_get(F.col(_VALUE), "$[1]", "variant")
-    ok = F.coalesce(F.col(_OK) & F.col(_VALUE).isNotNull() & (kind.startswith("OBJECT")) & second.isNull(), F.lit(False))
-    return df.select(*[col(n) for n in df.columns if n != _OK], ok.alias(_OK))
+    seal = F.xxhash64(F.lit(_SEAL), c)
+    value = F.try_parse_json(F.concat(F.lit("["), c, F.lit(","), seal.cast("string"), F.lit("]")))
+    df = df.select("*", value.alias(_VALUE))
+    kind = F.schema_of_variant(F.try_variant_get(F.col(_VALUE), "$[0]", "variant"))
+    sealed = F.try_variant_get(F.col(_VALUE), "$[1]", "bigint").eqNullSafe(seal)
+    return df.select("*", F.coalesce(sealed & kind.startswith("OBJECT"), F.lit(False)).alias(_OK))
 
 
 def _extracted(f: T.StructField) -> tuple[Column, Column]:
@@ -78,29 +82,73 @@ def _extracted(f: T.StructField) -> tuple[Column, Column]:
     return value, F.coalesce(kind.isNotNull() & (kind != "VOID") & ~fits, F.lit(False))
 
 
-def normalize_columns(df: DataFrame, column: str, schema: T.StructType | str, version: str = "v1") -> DataFrame:
-    """The target columns alone, one row for each row of df; stays lazy and native."""
+def _prepared(df: DataFrame, column: str, schema: T.StructType | str, version: str, keep: Sequence[str]) -> tuple[DataFrame, list[T.StructField]]:
+    """The kept columns and the text, parsed, and the targets."""
     registered(VERSIONS, version, "normalize")
     string_field(df, column)
     schema = _checked(schema)
     require_conf(df, "spark.sql.variant.allowDuplicateKeys", "true")
-    parsed = _parsed(df.select(col(column)), column)
-    return parsed.select(*[_extracted(f)[0].alias(f.name) for f in schema.fields])
+    if clash := set(keep) & {*schema.names}:
+        raise SchemaMismatch(f"kept columns are named like targets: {sorted(clash)}")
+    kept = [field_of(df, n).name for n in keep]
+    return _parsed(df.select(*[col(n) for n in kept], col(column).alias(_TEXT)), _TEXT), schema.fields
+
+
+def _targets(parsed: DataFrame, fields: list[T.StructField], keep: Sequence[str]) -> DataFrame:
+    return parsed.select(*[col(n) for n in keep], *[_extracted(f)[0].alias(f.name) for f in fields])
+
+
+def _counts(fields: list[T.StructField]) -> list[Column]:
+    """Rows, malformed rows, and mismatches of each target."""
+    return [F.count(F.lit(1)).alias("rows"), F.count_if(~F.col(_OK)).alias("malformed"), *[F.count_if(_extracted(f)[1]).alias(f"t{i}") for i, f in enumerate(fields)]]
+
+
+def _stats(fields: list[T.StructField], found) -> NormalizeStats:
+    n, malformed, *mismatches = found
+    return NormalizeStats(n, malformed, dict(zip([f.name for f in fields], mismatches, strict=True)))
+
+
+def normalize_columns(df: DataFrame, column: str, schema: T.StructType | str, version: str = "v1", keep: Sequence[str] = ()) -> DataFrame:
+    """The columns of keep and the target columns, one row for each row of df; stays lazy and native."""
+    parsed, fields = _prepared(df, column, schema, version, keep)
+    return _targets(parsed, fields, keep)
 
 
 def normalize_stats(df: DataFrame, column: str, schema: T.StructType | str, version: str = "v1") -> NormalizeStats:
     """The counts alone, by one aggregate."""
-    registered(VERSIONS, version, "normalize")
-    string_field(df, column)
-    schema = _checked(schema)
-    require_conf(df, "spark.sql.variant.allowDuplicateKeys", "true")
-    parsed = _parsed(df.select(col(column)), column)
-    checks = [F.count_if(_extracted(f)[1]) for f in schema.fields]
-    n, malformed, *mismatches = parsed.agg(F.count(F.lit(1)), F.count_if(~F.col(_OK)), *checks).first()
-    return NormalizeStats(n, malformed, dict(zip(schema.names, mismatches, strict=True)))
+    parsed, fields = _prepared(df, column, schema, version, ())
+    return _stats(fields, parsed.agg(*_counts(fields)).first())
+
+
+class PendingStats:
+    """Counts that are made while the rows are read for the first time.
+
+    The first action over the rows should read all of them, as writing does. If none
+    has run when the counts are asked for, one is run that only reads.
+    """
+
+    def __init__(self, seen: Observation, rows: DataFrame, fields: list[T.StructField]):
+        self._seen, self._rows, self._fields, self._found = seen, rows, fields, None
+
+    def get(self) -> NormalizeStats:
+        if self._found is None:
+            # An action that has just ended may not be told of yet.
+            self._rows.sparkSession.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+            if not self._seen._jo.future().isCompleted():
+                self._rows.write.format("noop").mode("overwrite").save()
+            got = self._seen.get
+            self._found = _stats(self._fields, [got["rows"], got["malformed"], *[got[f"t{i}"] for i in range(len(self._fields))]])
+        return self._found
+
+    rows = property(lambda self: self.get().rows)
+    rows_malformed = property(lambda self: self.get().rows_malformed)
+    type_mismatches = property(lambda self: self.get().type_mismatches)
 
 
 @instrumented
-def normalize_json(df: DataFrame, column: str, schema: T.StructType | str, version: str = "v1") -> tuple[DataFrame, NormalizeStats]:
-    """The target columns, and the counts (which run a job)."""
-    return normalize_columns(df, column, schema, version), normalize_stats(df, column, schema, version)
+def normalize_json(df: DataFrame, column: str, schema: T.StructType | str, version: str = "v1", keep: Sequence[str] = ()) -> tuple[DataFrame, PendingStats]:
+    """The columns of keep with the target columns, and the counts: both from one pass over df, the first that reads the rows."""
+    parsed, fields = _prepared(df, column, schema, version, keep)
+    seen = Observation()
+    out = _targets(parsed.observe(seen, *_counts(fields)), fields, keep)
+    return out, PendingStats(seen, out, fields)

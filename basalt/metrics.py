@@ -6,6 +6,7 @@ from the caller or from an Observation, so measuring runs no job of its own.
 
 from __future__ import annotations
 
+import inspect
 import json
 import threading
 import time
@@ -15,6 +16,14 @@ from datetime import UTC, datetime
 from functools import wraps
 from typing import Any
 
+from .errors import EngineError
+
+#: Parameters that are told as they are, and those of which the number is told.
+TOLD = ("columns", "order_by", "version", "how", "left_keys", "right_keys", "group_by", "output_column", "column", "name", "max_distinct_keys", "max_bytes", "exact", "allow_numeric_widening", "keep")
+COUNTED = {"aggregations": "aggregation_count", "rules": "rule_count"}
+#: Parameters that are tables, and what their rows are called.
+TABLES = {"df": "rows_in", "left": "rows_in", "actual": "rows_in", "right": "rows_in_right", "small": "rows_in_right", "expected": "rows_in_expected"}
+
 _lock = threading.Lock()
 _sink: Callable[[dict], None] | None = None
 
@@ -54,6 +63,11 @@ def row_count(obj: Any) -> int | None:
     return len(obj) if hasattr(obj, "__len__") else None
 
 
+def _told(e: BaseException) -> str:
+    """Type and message of this library's own errors, which speak of names and types; of others, whose messages may hold values, the type alone."""
+    return f"{type(e).__name__}: {e}" if isinstance(e, EngineError) else type(e).__name__
+
+
 @contextmanager
 def measure(function: str, **fields: Any) -> Iterator[dict]:
     """One event for the block: what the block adds to the yielded dict is part of it. Errors are recorded and raised again."""
@@ -65,14 +79,14 @@ def measure(function: str, **fields: Any) -> Iterator[dict]:
     try:
         yield event
     except BaseException as e:
-        event |= {"status": "error", "error": type(e).__name__}
+        event |= {"status": "error", "error": _told(e)}
         raise
     else:
         event.setdefault("status", "ok")
     finally:
         took = time.perf_counter() - began
         event["duration_ms"] = round(took * 1000, 3)
-        rows = event.get("rows")
+        rows = event.get("rows_in", event.get("rows"))
         event["rows_per_second"] = round(rows / took, 1) if isinstance(rows, int) and took > 0 else None
         event.setdefault("error", None)
         with _lock:
@@ -89,16 +103,36 @@ def counted(df):
     return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
 
 
+def _fields_of(arguments: dict) -> dict:
+    """What an event says of a call's arguments: names and counts; rows where they are known without a job."""
+    fields: dict = {}
+    for name, value in arguments.items():
+        if name in TOLD and (value is None or isinstance(value, (str, int, bool, list, tuple))):
+            fields[name] = list(value) if isinstance(value, (list, tuple)) else value
+        elif name in COUNTED:
+            fields[COUNTED[name]] = row_count(value)
+        elif name in TABLES and not isinstance(value, str):
+            fields[TABLES[name]] = row_count(value)
+    return fields
+
+
 def instrumented(function: Callable) -> Callable:
-    """The function with an event for each call; rows of the result where they are known."""
+    """The function with an event for each call: its parameters, and rows in and out where they are known."""
+    bind = inspect.signature(function).bind
 
     @wraps(function)
     def call(*args, **kwargs):
         if _sink is None:
             return function(*args, **kwargs)
-        with measure(function.__name__) as event:
+        try:
+            bound = bind(*args, **kwargs)
+            bound.apply_defaults()
+            fields = _fields_of(bound.arguments)
+        except TypeError:
+            fields = {}
+        with measure(function.__name__, **fields) as event:
             out = function(*args, **kwargs)
-            event["rows"] = row_count(out)
+            event["rows_out"] = row_count(out)
             return out
 
     return call

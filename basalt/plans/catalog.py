@@ -8,19 +8,26 @@ queries about nulls make them with an expression, alike in both engines.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import suppress
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from ..functions.cleanup import clean_with_preset, clean_with_rules
-from ..functions.json_normalize import normalize_columns, normalize_stats
-from ..operators.aggregates import aggregate
+from pyspark.sql import types as T
+
+from .. import __version__, metrics
+from ..cpu import cpu_features
+from ..errors import ConfigError, EngineError, UnsupportedType
+from ..functions.cleanup import CleanRule, clean_with_preset, clean_with_rules
+from ..functions.json_normalize import normalize_columns, normalize_json, normalize_stats
+from ..operators.aggregates import FUNCTIONS, aggregate
 from ..operators.dedup import drop_duplicates
 from ..operators.equivalence import check_equivalence
-from ..operators.hashing import hash_rows, hash_rows_all_columns, row_hash, table_fingerprint
+from ..operators.hashing import hash_rows, hash_rows_all_columns, row_hash, schema_fingerprint, table_fingerprint
 from ..operators.joins import broadcast_join, join, join_null_safe
 from ..operators.schema_check import validate_schema
 from ..session import configure
+from ..sources.tables import collect_as_record_batch, map_in_arrow, to_arrow_schema
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -123,21 +130,23 @@ def agg_empty_whole_table(spark, table):
 # --- joins
 
 
-def _rich(table):
-    return table("customer").where("c_acctbal > 5000").select("c_custkey", "c_name"), table("orders").where("o_totalprice > 200000").select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("c_name"))
+def _ordered(table):
+    """Customers, and orders of which some have a customer that isn't there."""
+    key = F.when(F.col("o_orderkey") % 7 == 0, -F.col("o_custkey")).otherwise(F.col("o_custkey"))
+    return table("customer").select("c_custkey", "c_name"), table("orders").select("o_orderkey", key.alias("o_custkey"), F.col("o_orderstatus").alias("c_name"))
 
 
 def _join_sql(kind: str) -> str:
     return f"""
     SELECT c_custkey, c.c_name AS c_name, o_orderkey, o_custkey, o.c_name AS c_name_right
-    FROM (SELECT * FROM customer WHERE c_acctbal > 5000) c {kind} JOIN (SELECT o_orderkey, o_custkey, o_orderstatus AS c_name FROM orders WHERE o_totalprice > 200000) o ON c_custkey = o_custkey"""
+    FROM customer c {kind} JOIN (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN -o_custkey ELSE o_custkey END AS o_custkey, o_orderstatus AS c_name FROM orders) o ON c_custkey = o_custkey"""
 
 
 def _kinds():
     for how in ("inner", "left", "right", "full"):
 
         def make(spark, table, how=how):
-            return join(*_rich(table), ["c_custkey"], ["o_custkey"], how)
+            return join(*_ordered(table), ["c_custkey"], ["o_custkey"], how)
 
         make.__name__ = f"join_{how}"
         _query(_join_sql(how))(make)
@@ -159,9 +168,23 @@ def join_null_keys(spark, table):
     return join(*_null_keys(table), ["k"], ["k"], "full")
 
 
-@_query(f"SELECT s_suppkey, s.k AS k, n_nationkey, n.k AS k_right FROM ({_NULL_KEYS}) s JOIN (SELECT n_nationkey, nullif(n_nationkey % 5, 2) AS k FROM nation) n ON s.k IS NOT DISTINCT FROM n.k")
-def join_null_safe_inner(spark, table):
-    return join_null_safe(*_null_keys(table), ["k"], ["k"])
+def _null_safe_kinds():
+    for how in ("inner", "left", "right", "full"):
+
+        def make(spark, table, how=how):
+            s, n = _null_keys(table)
+            # A key on either side that the other hasn't.
+            s, n = s.unionByName(s.selectExpr("-s_suppkey AS s_suppkey", "CASE WHEN k = 1 THEN 77 ELSE k END AS k")), n.withColumn("k", F.expr("CASE WHEN k = 4 THEN 88 ELSE k END"))
+            return join_null_safe(s, n, ["k"], ["k"], how)
+
+        make.__name__ = f"join_null_safe_{how}"
+        _query(f"""
+            SELECT s_suppkey, s.k AS k, n_nationkey, n.k AS k_right
+            FROM (SELECT * FROM ({_NULL_KEYS}) UNION ALL SELECT -s_suppkey, CASE WHEN k = 1 THEN 77 ELSE k END FROM ({_NULL_KEYS})) s
+            {how} JOIN (SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 4 THEN 88 ELSE nullif(n_nationkey % 5, 2) END AS k FROM nation) n ON s.k IS NOT DISTINCT FROM n.k""")(make)
+
+
+_null_safe_kinds()
 
 
 @_query("""
@@ -177,10 +200,10 @@ def _broadcasts():
     for how in ("inner", "left"):
 
         def make(spark, table, how=how):
-            return broadcast_join(table("customer").select("c_custkey", "c_nationkey"), table("nation").where("n_nationkey < 12"), ["c_nationkey"], ["n_nationkey"], how)
+            return broadcast_join(table("customer").select("c_custkey", "c_nationkey"), table("nation").withColumn("n_nationkey", F.col("n_nationkey") * 2), ["c_nationkey"], ["n_nationkey"], how)
 
         make.__name__ = f"broadcast_{how}"
-        _query(f"SELECT c_custkey, c_nationkey, n.* FROM customer {how} JOIN (SELECT * FROM nation WHERE n_nationkey < 12) n ON c_nationkey = n_nationkey")(make)
+        _query(f"SELECT c_custkey, c_nationkey, n.* FROM customer {how} JOIN (SELECT n_nationkey * 2 AS n_nationkey, n_name, n_regionkey FROM nation) n ON c_nationkey = n_nationkey")(make)
 
 
 _broadcasts()
@@ -204,9 +227,21 @@ def dedup_null_keys(spark, table):
     return drop_duplicates(table("customer").select(F.nullif(F.col("c_nationkey"), F.lit(3)).alias("k"), "c_mktsegment"), ["k", "c_mktsegment"])
 
 
-@_query("SELECT DISTINCT l_orderkey FROM lineitem")
-def dedup_any(spark, table):
-    return drop_duplicates(table("lineitem"), ["l_orderkey"]).select("l_orderkey")
+@_query("SELECT DISTINCT * FROM lineitem")
+def dedup_all_columns(spark, table):
+    lines = table("lineitem")
+    return drop_duplicates(lines, lines.columns)
+
+
+@_query("SELECT CAST(most AS BIGINT) AS most, (SELECT count(DISTINCT c_nationkey) FROM customer) > most AS refused FROM range(22, 28) r(most)")
+def dedup_bounded_keys(spark, table):
+    def refused(most: int) -> bool:
+        try:
+            return drop_duplicates(table("customer"), ["c_nationkey"], max_distinct_keys=most) is None
+        except MemoryError:
+            return True
+
+    return spark.createDataFrame([(most, refused(most)) for most in range(22, 28)], "most long, refused boolean")
 
 
 # --- hashes and fingerprints
@@ -224,39 +259,149 @@ def hash_order_sensitive(spark, table):
     return c.agg(F.count(F.lit(1)).alias("n"), F.count_if(row_hash(c, ["c_custkey", "n"]) != row_hash(c, ["n", "c_custkey"])).alias("different"))
 
 
-@_query("SELECT true AS null_differs, true AS type_differs, true AS zeros_agree")
+@_query("""
+    SELECT count(*) AS n, count(*) FILTER (c_name IS NOT NULL) AS null_differs, count(*) AS type_differs, count(*) AS zeros_agree, count(*) AS nans_agree, count(DISTINCT c_custkey) AS hashes
+    FROM customer""")
 def hash_null_and_types(spark, table):
-    one = spark.sql("SELECT CAST(NULL AS STRING) AS a, '' AS b, 5 AS c, 5L AS d, 0D AS e, -0D AS f")
-    h = lambda n: row_hash(one, [n])
-    return one.select((h("a") != h("b")).alias("null_differs"), (h("c") != h("d")).alias("type_differs"), (h("e") == h("f")).alias("zeros_agree"))
+    c = table("customer").select(
+        "c_custkey", F.lit(None).cast("string").alias("none"), F.substring("c_name", 1, 0).alias("empty"), F.col("c_custkey").cast("int").alias("narrow"),
+        (F.col("c_acctbal") * 0).alias("zero"), (F.col("c_acctbal") * -0.0).alias("minus_zero"), (F.col("c_acctbal") * float("nan")).alias("nan"), (F.col("c_custkey") * float("nan")).alias("other_nan"),
+    )
+    h = lambda n: row_hash(c, [n])
+    return c.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(h("none") != h("empty")).alias("null_differs"), F.count_if(h("c_custkey") != h("narrow")).alias("type_differs"),
+        F.count_if(h("zero") == h("minus_zero")).alias("zeros_agree"), F.count_if(h("nan") == h("other_nan")).alias("nans_agree"), F.count_distinct(h("c_custkey")).alias("hashes"),
+    )
+
+
+@_query("SELECT event_type, count(DISTINCT v) AS n FROM (SELECT event_type, CASE event_id % 4 WHEN 0 THEN 'NaN'::DOUBLE WHEN 1 THEN 0.0 WHEN 2 THEN -0.0 ELSE value END AS v FROM events) GROUP BY event_type")
+def hash_special_doubles(spark, table):
+    kind = F.col("event_id") % 4
+    v = F.when(kind == 0, float("nan")).when(kind == 1, 0.0).when(kind == 2, -0.0).otherwise(F.col("value"))
+    return hash_rows(table("events").select("event_type", v.alias("v")), ["v"]).groupBy("event_type").agg(F.count_distinct("row_hash").alias("n"))
+
+
+@_query("""
+    WITH g AS (SELECT n_nationkey % 5 AS g, list(n_regionkey ORDER BY n_regionkey) AS bag FROM nation GROUP BY ALL)
+    SELECT a.g AS a, b.g AS b, a.bag = b.bag AS same FROM g a, g b""")
+def fingerprint_pairs(spark, table):
+    nation = table("nation")
+    one = [table_fingerprint(nation.where(F.col("n_nationkey") % 5 == g), ["n_regionkey"]) for g in range(5)]
+    other = [table_fingerprint(nation.where(F.col("n_nationkey") % 5 == g).orderBy(F.desc("n_name")).repartition(3), ["n_regionkey"]) for g in range(5)]
+    return spark.createDataFrame([(a, b, one[a] == other[b]) for a in range(5) for b in range(5)], "a int, b int, same boolean")
+
+
+# --- schemas
+
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+# Columns of all tables, with their types; by place, names of different tables agree.
+_COLUMNS_SQL = f"SELECT table_name AS t, ordinal_position - 1 AS i, column_name AS name, data_type AS kind FROM information_schema.columns WHERE table_name IN {_TABLES}"
+
+
+def _by_place(df: DataFrame) -> DataFrame:
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+@_query(f"WITH s AS (SELECT t, list(name || ' ' || kind ORDER BY i) AS l FROM ({_COLUMNS_SQL}) GROUP BY t) SELECT a.t AS a, b.t AS b, a.l = b.l AS same, a.l = b.l AS same_struct FROM s a, s b")
+def schema_fingerprints(spark, table):
+    frames = {t: table(t) for t in _TABLES}
+    one, other = {t: schema_fingerprint(f) for t, f in frames.items()}, {t: schema_fingerprint(f.schema) for t, f in frames.items()}
+    return spark.createDataFrame([(a, b, one[a] == one[b], one[a] == other[b]) for a in _TABLES for b in _TABLES], "a string, b string, same boolean, same_struct boolean")
+
+
+def _diffs_sql(widening: bool, not_null: bool) -> str:
+    wider = "NOT (w.kind = 'BIGINT' AND h.kind = 'INTEGER')" if widening else "true"
+    nulls = "UNION ALL SELECT h.t, w.t, 'nullability', 'c' || w.i FROM w JOIN c h ON h.i = w.i WHERE w.i % 2 = 0" if not_null else ""
+    return f"""
+    WITH c AS ({_COLUMNS_SQL}), w AS (SELECT * FROM c), p AS (SELECT DISTINCT a.t AS have, b.t AS want FROM c a, c b),
+    d(actual, expected, kind, name) AS (
+        SELECT have, want, 'missing', 'c' || w.i FROM p JOIN w ON w.t = want WHERE NOT EXISTS (FROM c h WHERE h.t = have AND h.i = w.i)
+        UNION ALL SELECT have, want, 'unexpected', 'c' || h.i FROM p JOIN c h ON h.t = have WHERE NOT EXISTS (FROM w WHERE w.t = want AND w.i = h.i)
+        UNION ALL SELECT h.t, w.t, 'retyped', 'c' || w.i FROM w JOIN c h ON h.i = w.i WHERE h.kind <> w.kind AND {wider}
+        {nulls})"""
+
+
+def _diff_rows(table, widening: bool, not_null: bool = False):
+    schemas = {t: _by_place(table(t)).schema for t in _TABLES}
+    strict = {t: T.StructType([T.StructField(f.name, f.dataType, i % 2 == 1) for i, f in enumerate(s.fields)]) for t, s in schemas.items()}
+    for a in _TABLES:
+        for b in _TABLES:
+            yield a, b, validate_schema(schemas[a], (strict if not_null else schemas)[b], widening)
+
+
+def _schema_diffs():
+    for name, widening, not_null in (("schema_diffs", False, False), ("schema_diffs_widening", True, False), ("schema_diffs_nullability", True, True)):
+
+        def make(spark, table, widening=widening, not_null=not_null):
+            rows = []
+            for a, b, diff in _diff_rows(table, widening, not_null):
+                kinds = (("missing", diff.missing), ("unexpected", diff.unexpected), ("retyped", [r.name for r in diff.retyped]), ("nullability", [c.name for c in diff.nullability]))
+                rows += [(a, b, kind, n) for kind, names in kinds for n in names]
+            return spark.createDataFrame(rows, "actual string, expected string, kind string, name string")
+
+        make.__name__ = name
+        _query(_diffs_sql(widening, not_null) + " SELECT * FROM d")(make)
+
 
+_schema_diffs()
 
-@_query("SELECT true AS reordered_agrees, false AS doubled_agrees")
-def fingerprint_reordered(spark, table):
-    orders = table("orders")
-    base, again = table_fingerprint(orders), table_fingerprint(orders.repartition(7, "o_custkey"))
-    doubled = table_fingerprint(orders.unionByName(orders.where("o_orderkey < 10")))
-    return spark.sql(f"SELECT {str(base == again).lower()} AS reordered_agrees, {str(base == doubled).lower()} AS doubled_agrees")
 
+@_query(_diffs_sql(True, False) + """
+    SELECT have AS actual, want AS expected, count(d.kind) = 0 AS is_empty, count(d.kind) FILTER (d.kind <> 'unexpected') > 0 AS is_breaking
+    FROM p LEFT JOIN d ON actual = have AND expected = want GROUP BY ALL""")
+def schema_verdicts(spark, table):
+    return spark.createDataFrame([(a, b, d.is_empty, d.is_breaking) for a, b, d in _diff_rows(table, True)], "actual string, expected string, is_empty boolean, is_breaking boolean")
 
-# --- schemas and equivalence
 
+@_query(f"""
+    SELECT t, name, CASE kind WHEN 'BIGINT' THEN 'int64' WHEN 'INTEGER' THEN 'int32' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp[us]' WHEN 'FLOAT[]' THEN 'list<element: float>' END AS arrow
+    FROM ({_COLUMNS_SQL})""")
+def arrow_schemas(spark, table):
+    return spark.createDataFrame([(t, f.name, str(f.type)) for t in _TABLES for f in to_arrow_schema(table(t))], "t string, name string, arrow string")
+
+
+@_query(f"""
+    SELECT t, name, function, function <> 'count' AND kind NOT IN ('BIGINT', 'INTEGER', 'DOUBLE') AS refused
+    FROM ({_COLUMNS_SQL}), (VALUES ('count'), ('sum'), ('mean'), ('avg'), ('min'), ('max')) f(function)""")
+def agg_type_gate(spark, table):
+    def refused(df, name: str, function: str) -> bool:
+        try:
+            return aggregate(df, [], [(name, function, "x")]) is None
+        except UnsupportedType:
+            return True
+
+    rows = [(t, n, f, refused(df, n, f)) for t in _TABLES for df in [table(t)] for n in df.columns for f in FUNCTIONS]
+    return spark.createDataFrame(rows, "t string, name string, function string, refused boolean")
+
+
+@_query(f"""
+    WITH c AS (SELECT * FROM ({_COLUMNS_SQL}) WHERE t IN ('customer', 'orders'))
+    SELECT a.name AS a, b.name AS b, a.kind <> b.kind AS refused FROM c a, c b WHERE a.t = 'customer' AND b.t = 'orders'
+    UNION ALL SELECT a.name, '', true FROM c a WHERE a.t = 'customer'""")
+def join_key_checks(spark, table):
+    c, o = table("customer"), table("orders")
+
+    def refused(a: list[str], b: list[str]) -> bool:
+        try:
+            return join(c, o, a, b) is None
+        except EngineError:
+            return True
 
-@_query("SELECT * FROM (VALUES ('missing', 'email', 'string', ''), ('retyped', 'n_regionkey', 'bigint', 'int'), ('unexpected', 'n_name', '', '')) AS t(kind, name, expected, actual)")
-def schema_diff_rows(spark, table):
-    diff = validate_schema(table("nation"), "n_nationkey INT, email STRING, n_regionkey BIGINT")
-    rows = [("missing", n, "string", "") for n in diff.missing] + [("retyped", r.name, r.expected, r.actual) for r in diff.retyped] + [("unexpected", n, "", "") for n in diff.unexpected]
-    return spark.createDataFrame(rows, "kind string, name string, expected string, actual string")
+    rows = [(a, b, refused([a], [b])) for a in c.columns for b in o.columns] + [(a, "", refused([a], [])) for a in c.columns]
+    return spark.createDataFrame(rows, "a string, b string, refused boolean")
+
+
+# --- equivalence
 
 
 def _equivalences():
     cases = {
-        "equiv_fast_true": (lambda s: s.repartition(5), False, True),
-        "equiv_fast_false": (lambda s: s.withColumn("s_acctbal", F.when(F.col("s_suppkey") == 1, 0.5).otherwise(F.col("s_acctbal"))), False, False),
-        "equiv_exact": (lambda s: s.orderBy(F.desc("s_name")), True, True),
-        "equiv_exact_false": (lambda s: s.where("s_suppkey <> 2").unionByName(s.where("s_suppkey = 3")), True, False),
+        "equiv_fast_true": (lambda s: s.repartition(5), False, "SELECT * FROM supplier"),
+        "equiv_fast_false": (lambda s: s.withColumn("s_acctbal", F.when(F.col("s_suppkey") == 1, 0.5).otherwise(F.col("s_acctbal"))), False, "SELECT * REPLACE (CASE WHEN s_suppkey = 1 THEN 0.5 ELSE s_acctbal END AS s_acctbal) FROM supplier"),
+        "equiv_exact": (lambda s: s.orderBy(F.desc("s_name")), True, "SELECT * FROM supplier ORDER BY s_name DESC"),
+        "equiv_exact_false": (lambda s: s.where("s_suppkey <> 2").unionByName(s.where("s_suppkey = 3")), True, "SELECT * FROM supplier WHERE s_suppkey <> 2 UNION ALL SELECT * FROM supplier WHERE s_suppkey = 3"),
     }
-    for name, (change, exact, same) in cases.items():
+    for name, (change, exact, changed) in cases.items():
 
         def make(spark, table, change=change, exact=exact):
             s = table("supplier")
@@ -264,25 +409,97 @@ def _equivalences():
             return spark.createDataFrame([(report.actual_rows, report.expected_rows, report.is_equivalent)], "actual_rows long, expected_rows long, equivalent boolean")
 
         make.__name__ = name
-        _query(f"SELECT count(*) AS actual_rows, count(*) AS expected_rows, {str(same).lower()} AS equivalent FROM supplier")(make)
+        _query(f"""
+            WITH a AS ({changed})
+            SELECT (SELECT count(*) FROM a) AS actual_rows, (SELECT count(*) FROM supplier) AS expected_rows,
+                   NOT EXISTS (FROM a EXCEPT ALL FROM supplier) AND NOT EXISTS (FROM supplier EXCEPT ALL FROM a) AS equivalent""")(make)
 
 
 _equivalences()
 
 
+# --- tables, batches, events
+
+
+@_query("SELECT * FROM nation")
+def batch_of_nations(spark, table):
+    batch = collect_as_record_batch(table("nation").repartition(4))
+    return spark.createDataFrame(pa.Table.from_batches([batch]))
+
+
+@_query("SELECT c_custkey, upper(c_mktsegment) AS segment FROM customer")
+def batches_mapped(spark, table):
+    def shout(batches):
+        import pyarrow.compute as pc
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("c_custkey"), pc.utf8_upper(b.column("c_mktsegment"))], names=["c_custkey", "segment"])
+
+    return map_in_arrow(table("customer").select("c_custkey", "c_mktsegment"), shout, "c_custkey long, segment string")
+
+
+@_query("""
+    SELECT 'collect_as_record_batch' AS function, 'ok' AS status, CAST(NULL AS VARCHAR) AS columns, 'first' AS enabled, count(*) AS rows_out FROM nation
+    UNION ALL SELECT 'hash_rows', 'ok', 'n_name,n_regionkey', 'first', NULL
+    UNION ALL SELECT 'aggregate', 'error', NULL, 'first', NULL
+    UNION ALL SELECT 'load', 'ok', NULL, 'first', count(*) FROM region""")
+def metric_events(spark, table):
+    """Events of calls while metrics are on; none of a call after they are off."""
+    events: list[dict] = []
+    metrics.enable(events.append)
+    enabled = "first" if metrics.is_enabled() else "never"
+    try:
+        collect_as_record_batch(table("nation"))
+        hash_rows(table("nation"), ["n_name", "n_regionkey"])
+        with suppress(UnsupportedType):
+            aggregate(table("nation"), [], [("n_name", "sum", "s")])
+        with metrics.measure("load") as event:
+            event["rows_out"] = metrics.row_count(table("region").toArrow())
+    finally:
+        metrics.disable()
+    hash_rows(table("nation"), ["n_name"])
+    rows = [(e["function"], e["status"], ",".join(c) if (c := e.get("columns")) else None, enabled, e.get("rows_out")) for e in events]
+    return spark.createDataFrame(rows, "function string, status string, columns string, enabled string, rows_out long")
+
+
+@_query(None)
+def engine_facts(spark, table):
+    """The library's version and the instruction sets of the driver's machine."""
+    found = cpu_features()
+    return spark.createDataFrame([(__version__, *[getattr(found, f) for f in ("sse42", "avx2", "avx512f", "neon")])], "version string, sse42 boolean, avx2 boolean, avx512f boolean, neon boolean")
+
+
 # --- JSON
 
 
 @_query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_events_props(spark, table):
-    events = table("events").select("event_id", "props")
-    return events.select("event_id", _one_json(events, "props"))
+    return normalize_columns(table("events"), "props", "k BIGINT", keep=["event_id"])
+
+
+# Real columns as objects; every seventh text is cut off, every fifth has a name for a number.
+_CUSTOMERS_SQL = "SELECT *, c_custkey % 7 = 0 AS cut, c_custkey % 5 = 0 AS odd FROM customer"
+
+
+def _objects(table):
+    c = table("customer")
+    odd = F.to_json(F.struct(F.col("c_name").alias("id"), F.struct(F.col("c_mktsegment").alias("segment")).alias("in"), F.col("c_acctbal").alias("balance")))
+    even = F.to_json(F.struct(F.col("c_custkey").alias("id"), F.struct(F.col("c_mktsegment").alias("segment")).alias("in"), F.col("c_acctbal").alias("balance")))
+    text = F.when(F.col("c_custkey") % 5 == 0, odd).otherwise(even)
+    return c.select("c_custkey", text.alias("j")).selectExpr("c_custkey", "CASE WHEN c_custkey % 7 = 0 THEN substring(j, 1, length(j) - 1) ELSE j END AS j")
+
+
+@_query(f"""
+    SELECT c_custkey, CASE WHEN NOT cut AND NOT odd THEN c_custkey END AS id, CASE WHEN NOT cut THEN c_mktsegment END AS "in.segment", CASE WHEN NOT cut THEN c_acctbal END AS balance FROM ({_CUSTOMERS_SQL})""")
+def json_customers(spark, table):
+    return normalize_json(_objects(table), "j", "id BIGINT, `in.segment` STRING, balance DOUBLE", keep=["c_custkey"])[0]
 
 
-def _one_json(events: DataFrame, column: str):
-    """The field k by the same strict rules, beside other columns."""
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(column), "$.k", "variant"))
-    return F.when(kind == "BIGINT", F.try_variant_get(F.try_parse_json(column), "$.k", "bigint")).alias("k")
+@_query(f"""
+    SELECT count(*) AS n, count(*) FILTER (cut) AS malformed, count(*) FILTER (odd AND NOT cut) AS id_mismatches, count(*) FILTER (NOT cut) AS segment_mismatches FROM ({_CUSTOMERS_SQL})""")
+def json_customer_stats(spark, table):
+    stats = normalize_json(_objects(table), "j", "id BIGINT, `in.segment` BOOLEAN")[1]
+    return spark.createDataFrame([(stats.rows, stats.rows_malformed, *stats.type_mismatches.values())], "n long, malformed long, id_mismatches long, segment_mismatches long")
 
 
 # Texts by doc_id modulo 8, and what they give.
@@ -341,6 +558,23 @@ def _presets():
 _presets()
 
 
+_PATTERNS = ("{}+", "({}", "{}(?=a)", "(?<=a){}", "({})\\1", "[{}]", "{}|x", "(?!a){}", "{}{{2,3}}", "*{}")
+
+
+@_query("SELECT n_name, p.pattern AS pattern, TRY(regexp_matches('', replace(replace(replace(pattern, '{}', n_name), '{{', '{'), '}}', '}'))) IS NULL AS refused FROM nation, (VALUES " + ", ".join(f"('{p}')" for p in _PATTERNS) + ") p(pattern)")
+def clean_refused_patterns(spark, table):
+    """Patterns out of names: those beyond a linear-time dialect are refused as rules."""
+
+    def refused(pattern: str) -> bool:
+        try:
+            return CleanRule(pattern, "") is None
+        except ConfigError:
+            return True
+
+    names = [r[0] for r in table("nation").select("n_name").collect()]
+    return spark.createDataFrame([(n, p, refused(p.format(n))) for n in names for p in _PATTERNS], "n_name string, pattern string, refused boolean")
+
+
 @_query(r"SELECT page_id, regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '([a-z]+) +([a-z]+)', '\2_\1', 'g') AS cleaned FROM pages")
 def clean_rules_ordered(spark, table):
     rules = [("<[^>]*>", " "), ("(?P<first>[a-z]+) +([a-z]+)", "${2}_$first")]
