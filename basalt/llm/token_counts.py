@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import backquoted, texts_of
+from .common import backquoted, ship, texts_of
 from .units import UnitEncoder, tokenizer
 
 #: Characters of a chunk, and of the first overlap of two chunks.
@@ -52,7 +52,8 @@ def spliced_ids(encoder, text: str, chunk: int = CHUNK, overlap: int = OVERLAP,
         while True:
             start, stop = max(end - wide, begin), min(len(text), end + chunk)
             if start <= begin:
-                # The overlap holds the whole chunk: encode both as one.
+                # The overlap holds the whole chunk: encode both as one, twice as long at least, so that all such encodings together stay in proportion.
+                stop = min(len(text), max(stop, 2 * end - begin))
                 ids, begins = _encoded(encoder, text[begin:stop], begin)
                 end, first = stop, 0
                 break
@@ -91,6 +92,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, key: s
     tokenizer_path: a .json file of the tokenizers library with a byte-level
     pre-tokeniser, present on every executor.
     """
+    ship(docs.sparkSession)
     t = F.col(backquoted(text))
     source = docs.select(F.col(backquoted(key)).alias("doc_id"), F.coalesce(F.octet_length(t), F.lit(0)).cast("long").alias("n_bytes"), t.alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
