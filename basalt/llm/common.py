@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
+from functools import cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +24,7 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     package = Path(__file__).resolve().parent.parent
-    target = Path(tempfile.mkdtemp(prefix="basalt-")) / "basalt-package.zip"
+    target = Path(_local_dir()) / f"basalt-package-{uuid.uuid4().hex}.zip"
     with zipfile.ZipFile(target, "w") as out:
         for source in sorted(package.rglob("*.py")):
             out.write(source, source.relative_to(package.parent))
@@ -37,19 +41,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder name below spark.checkpoint.dir, which all executors see.
 
-    Only where that setting is absent (tests, a single machine) is a local
-    temporary folder taken.
+    Where that setting is absent, a temporary folder is taken on a single machine
+    (master local); on a cluster, whose machines don't share one, it's an error.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='basalt-')}"
+        if not re.match(r"local(\[[^,\]]*(,[^\]]*)?\])?$", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{_local_dir()}"
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+@cache
+def _local_dir() -> str:
+    """The temporary folder of a single machine; it goes with the process."""
+    folder = tempfile.mkdtemp(prefix="basalt-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def passing(spark: SparkSession, path: str) -> None:
+    """Have the folder deleted when the application ends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """df, written as Parquet in the shared folder and read again: the lineage ends there."""
+    """df, written as Parquet in the shared folder and read again: the lineage ends there. The folder goes when the application ends."""
     path = shared_dir(df.sparkSession, what)
     df.write.parquet(path)
+    passing(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -6,28 +6,35 @@ of the search window skips what no pattern can match, a shift of 0 leads to the
 bucket of the patterns with that suffix block, and the words decide.
 
 The patterns reach the tasks by broadcast in blocks of at most ``BLOCK_BYTES`` of
-item text, each searched by a pass of its own; the size is measured first.
+item text; the size is measured first. A block is compiled once in each Python
+process, into arrays of some 8 times its text, and the block before it is dropped, so
+a benchmark of any size needs the memory of one block there and on the driver. Each
+block is a pass over the documents.
 
 Defined results: null and empty texts have no words and no hits; a null item_id
 counts as an item under the empty string; items with equal windows are all found;
 repeated rows are judged one by one; with an empty benchmark nothing is hit; an
-empty table gives an empty result.
+empty table gives an empty result; of either table only the named columns are looked
+at, whatever the others are called; a very long text is searched in one go, in time
+in proportion.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import backquoted
+from .common import backquoted, ship, written
 
 WINDOW = 13
 #: Bytes of item text in one broadcast block of patterns.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 
 # Bytes of words (after lower-casing A-Z): digits, letters and whatever is not ASCII.
 _TO_WORDS = bytes(
@@ -40,51 +47,87 @@ def words(text: str) -> list[bytes]:
 
 
 class WuManber:
-    """Patterns of one length: shift by block, and the patterns of each suffix block."""
-
-    def __init__(self, patterns: dict[tuple, list[str]], length: int):
-        self.length, self.block, self.patterns = length, min(2, length), patterns
-        self.most = length - self.block + 1
-        self.shift: dict = {}
-        self.bucket: dict = defaultdict(dict)
-        for pattern in patterns:
-            for end in range(self.block, length + 1):
-                key = self._key(pattern, end)
-                self.shift[key] = min(self.shift.get(key, self.most), length - end)
-            # The first word parts a bucket further, as the prefix does in the paper.
-            self.bucket[self._key(pattern, length)].setdefault(pattern[0], []).append(pattern)
-
-    def _key(self, seq, end: int):
-        return seq[end - 1] if self.block == 1 else (seq[end - 2], seq[end - 1])
+    """Patterns of one length, in arrays.
+
+    ``shift`` has a byte for each hash of a block: how far the window may move. The
+    patterns themselves are the item words that end one: ``keys`` are the sorted
+    hashes of suffix block and first word, ``ends`` the places of the last words in
+    ``flat``, where the items' words stand with spaces between them.
+    """
+
+    def __init__(self, items: list[tuple[str, list[bytes]]], length: int):
+        self.length, self.block = length, min(2, length)
+        self.names = [name for name, _ in items]
+        sizes = np.fromiter((len(seq) for _, seq in items), np.int64, len(items))
+        self.item_begins = np.cumsum(sizes) - sizes
+        self.flat = b" ".join(b" ".join(seq) for _, seq in items)
+        lengths = np.fromiter((len(w) for _, seq in items for w in seq), np.int64, int(sizes.sum()))
+        self.word_ends = np.cumsum(lengths + 1) - 1
+        self.word_begins = self.word_ends - lengths
+        # A block at place p of an item ends a window there, or stands that far before the end of the item's first.
+        blocks = np.fromiter((h for _, seq in items for h in self._blocks(seq)), np.int64, int(sizes.sum()))
+        place = np.arange(len(blocks)) - np.repeat(self.item_begins, sizes)
+        real = place >= self.block - 1
+        self.mask = (1 << max(12, int(len(blocks) * 8).bit_length())) - 1
+        shift = np.full(self.mask + 1, length - self.block + 1, np.uint8)
+        np.minimum.at(shift, blocks[real] & self.mask, np.maximum(length - 1 - place[real], 0).astype(np.uint8))
+        self.shift = shift.tobytes()
+        keys = np.fromiter((h for _, seq in items for h in self._suffixes(seq)), np.int64)
+        ends = np.flatnonzero(place >= length - 1)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.ends = keys[order], ends[order]
+
+    def _blocks(self, seq: list[bytes]) -> list[int]:
+        return [0, *map(hash, zip(seq, seq[1:], strict=False))] if self.block == 2 else [hash((w,)) for w in seq]
+
+    def _suffixes(self, seq: list[bytes]) -> list[int]:
+        n = self.length
+        return [hash((seq[i - 2], seq[i - 1], seq[i - n])) for i in range(n, len(seq) + 1)] if self.block == 2 else [hash((w,)) for w in seq]
+
+    @property
+    def nbytes(self) -> int:
+        arrays = (self.item_begins, self.word_begins, self.word_ends, self.keys, self.ends)
+        return len(self.flat) + len(self.shift) + sum(a.nbytes for a in arrays) + sum(60 + len(n) for n in self.names)
 
     def search(self, seq: list[bytes]) -> Iterator[tuple[int, list[str]]]:
         """(start, items) of every occurrence, by start."""
-        end, n, length, shift, most = self.length, len(seq), self.length, self.shift, self.most
-        two = self.block == 2
-        while end <= n:
-            key = (seq[end - 2], seq[end - 1]) if two else seq[end - 1]
-            skip = shift.get(key, most)
-            if skip:
+        end, n, length, shift, mask = self.length, len(seq), self.length, self.shift, self.mask
+        found, keys = [], []
+        if self.block == 2:
+            while end <= n:
+                skip = shift[hash((seq[end - 2], seq[end - 1])) & mask]
+                if not skip:
+                    found.append(end)
+                    keys.append(hash((seq[end - 2], seq[end - 1], seq[end - length])))
+                    skip = 1
                 end += skip
-                continue
-            start = end - length
-            for pattern in self.bucket[key].get(seq[start], ()):
-                if tuple(seq[start:end]) == pattern:
-                    yield start, self.patterns[pattern]
-            end += 1
+        else:
+            keys = [hash((w,)) for w in seq]
+            found = [i + 1 for i, k in enumerate(keys) if not shift[k & mask]]
+            keys = [keys[i - 1] for i in found]
+        if not found:
+            return
+        wanted = np.array(keys, np.int64)
+        low, high = np.searchsorted(self.keys, wanted), np.searchsorted(self.keys, wanted, side="right")
+        for i in np.flatnonzero(low < high).tolist():
+            end = found[i]
+            text = b" ".join(seq[end - length : end])
+            ends = self.ends[low[i] : high[i]]
+            begins = self.word_begins[ends - length + 1]
+            same = [e for e, a, z in zip(ends.tolist(), begins.tolist(), self.word_ends[ends].tolist(), strict=True) if self.flat[a:z] == text]
+            if same:
+                owners = np.unique(np.searchsorted(self.item_begins, same, side="right") - 1)
+                yield end - length, [self.names[k] for k in owners.tolist()]
 
 
 def compile_items(items: list[tuple[str, str]], window: int = WINDOW) -> list[WuManber]:
     """One searcher for each length of pattern in (item_id, text)."""
-    by_length: dict[int, dict[tuple, list[str]]] = defaultdict(lambda: defaultdict(list))
+    by_length: dict[int, list] = defaultdict(list)
     for item, text in items:
         seq = words(text)
-        length = min(window, len(seq))
-        for at in range(len(seq) - length + 1) if seq else ():
-            owners = by_length[length][tuple(seq[at : at + length])]
-            if not owners or owners[-1] != item:
-                owners.append(item)
-    return [WuManber(dict(patterns), length) for length, patterns in sorted(by_length.items())]
+        if seq:
+            by_length[min(window, len(seq))].append((item, seq))
+    return [WuManber(some, length) for length, some in sorted(by_length.items())]
 
 
 def hits(searchers: list[WuManber], seq: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
@@ -103,21 +146,35 @@ def hits(searchers: list[WuManber], seq: list[bytes]) -> tuple[list[tuple[int, i
     return merged, items
 
 
-def _search(shared, window: int):
-    compiled: dict = {}
+#: The block that this process searches with: its name and its searchers.
+_current: list = [None, []]
+
+
+def _searchers(name: str, shared, window: int) -> list[WuManber]:
+    """The searchers of a block, compiled once a process; those of the block before go first."""
+    if _current[0] != name:
+        _current[:] = [None, []]
+        ids, texts = pa.ipc.open_stream(shared.value).read_all().columns
+        _current[:] = [name, compile_items(list(zip(ids.to_pylist(), texts.to_pylist(), strict=True)), window)]
+    return _current[1]
+
 
+def _search(name: str, shared, window: int, all_rows: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not compiled:
-            compiled["searchers"] = compile_items(shared.value, window)
         for batch in batches:
-            out = []
-            for text in batch.column("text"):
+            searchers = _searchers(name, shared, window)
+            at, n, spans, items = [], [], [], []
+            for i, text in enumerate(batch.column("text")):
                 seq = words(text.as_py() or "")
-                merged, items = hits(compiled["searchers"], seq)
-                out.append((len(seq), [x for span in merged for x in span], sorted(items)))
-            n, spans, items = zip(*out, strict=True) if out else ((), (), ())
+                merged, owners = hits(searchers, seq)
+                if all_rows or merged:
+                    at.append(i)
+                    n.append(len(seq) if all_rows else None)
+                    spans.append([x for span in merged for x in span])
+                    items.append(sorted(owners))
+            rows = batch.take(pa.array(at, pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("tie"), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
+                [rows.column("doc_id"), rows.column("tie"), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
                 names=["doc_id", "tie", "n_words", "spans", "items"],
             )
 
@@ -130,27 +187,39 @@ def blocks_of(benchmark: DataFrame, block_bytes: int) -> int:
     return max(1, -(-int(size) // block_bytes))
 
 
+def _block(items: DataFrame) -> bytes:
+    """The items of one block, as they are sent to the tasks."""
+    out = pa.BufferOutputStream()
+    table = items.select("item_id", "text").toArrow()
+    with pa.ipc.new_stream(out, table.schema) as stream:
+        stream.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
 def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, tie, n_words, spans (flat begin, end pairs of words) and items of each row of docs (doc_id, tie, text)."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, tie long, n_words long, spans array<long>, items array<string>"
     n = blocks_of(benchmark, block_bytes)
+    if n == 1:
+        shared = spark.sparkContext.broadcast(_block(benchmark))
+        return docs.mapInArrow(_search(uuid.uuid4().hex, shared, window, True), schema)
     found = None
     for block in range(n):
-        part = benchmark if n == 1 else benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == block)
-        shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in part.select("item_id", "text").collect()])
-        one = docs.mapInArrow(_search(shared, window), schema)
+        # One block at a time is on the driver and with the tasks; of later ones only rows with hits are written.
+        shared = spark.sparkContext.broadcast(_block(benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block)))
+        one = written(docs.mapInArrow(_search(uuid.uuid4().hex, shared, window, block == 0), schema), "hits")
+        shared.destroy()
         found = one if found is None else found.unionByName(one)
-    if n == 1:
-        return found
-    # Spans of several blocks: union them; a text alone decides its rows, so equal rows agree.
+    # A text alone decides its rows, so equal rows agree, and a set holds no more than one entry a block.
     return found.groupBy("doc_id", "tie").agg(
-        F.first("n_words").alias("n_words"),
-        F.flatten(F.collect_list("spans")).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-        (F.count(F.lit(1)) / n).cast("int").alias("copies"),
-    ).select("doc_id", "tie", "n_words", _merged("spans").alias("spans"), F.array_sort("items").alias("items"), F.explode(F.sequence(F.lit(1), "copies"))).drop("col")
+        F.max("n_words").alias("n_words"),
+        F.collect_set(F.struct("spans", "items")).alias("h"),
+        F.count("n_words").cast("int").alias("copies"),
+    ).select(
+        "doc_id", "tie", "n_words", F.flatten("h.spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten("h.items"))).alias("items"), F.explode(F.sequence(F.lit(1), "copies"))
+    ).select("doc_id", "tie", "n_words", _merged("spans").alias("spans"), "items")
 
 
 def _merged(spans: str):
@@ -170,6 +239,7 @@ def _merged(spans: str):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """n_words, n_hit, n_items, items_sha256 and contaminated of each row of docs."""
+    ship(docs.sparkSession)
     t = F.col(backquoted(text))
     source = docs.select(F.col(backquoted(key)).alias("doc_id"), F.xxhash64(t).alias("tie"), t.alias("text"))
     items = benchmark.select(F.coalesce(F.col(backquoted(item)).cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col(backquoted(item_text)), F.lit("")).alias("text"))

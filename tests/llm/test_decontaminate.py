@@ -66,3 +66,12 @@ def test_empty_tables(spark):
     no_items = spark.createDataFrame([], "item_id long, text string")
     assert {r.n_hit for r in decontaminate(spark.createDataFrame(docs, "doc_id long, text string, items string"), no_items).collect()} == {0}
     assert decontaminate(spark.createDataFrame([], "doc_id long, text string"), no_items).collect() == []
+
+
+def test_a_block_s_size_is_bounded_by_its_text():
+    r = random.Random(4)
+    items = [(str(i), " ".join(f"w{r.randrange(9999)}" for _ in range(r.choice([5, 60, 200])))) for i in range(3000)]
+    searchers = compile_items(items)
+    assert sum(s.nbytes for s in searchers) < 10 * sum(len(t) for _, t in items)
+    text = words("before it " + items[7][1] + " and behind " + items[8][1])
+    assert {"7", "8"} <= hits(searchers, text)[1]
