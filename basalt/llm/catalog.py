@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 
 from .common import table
 from .decontaminate import decontaminate
 from .near_dedup import near_dedup
-from .perspectives import perspectives
+from .perspectives import perspectives, rendered
 from .piece_codec import piece_codec
 from .quality_rules import quality_rules
 from .secret_scan import secret_scan
@@ -55,7 +56,9 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return perspectives(table(spark, sf_dir, "conversations"))
+    views = rendered(perspectives(table(spark, sf_dir, "conversations")))
+    pairs = F.transform("mask", lambda m: F.concat(m["start"].cast("string"), F.lit(":"), m["end"].cast("string")))
+    return views.withColumn("mask", F.array_join(pairs, ","))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """DuckDB SQL of the queries of this package that SQL can express."""
 
-from .perspectives import SYSTEM, UNKNOWN
+from .perspectives import BLOCK, SYSTEM, UNKNOWN
 from .quality_rules import STOP_WORDS, SYMBOLS, THRESHOLDS
 
 _STOPS = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
@@ -42,19 +42,24 @@ FROM m
 
 PERSPECTIVES = f"""
 WITH s AS (
-    SELECT conv_id, turn, coalesce(role, '{UNKNOWN}') AS speaker, coalesce(text, '') AS content FROM conversations
+    SELECT conv_id, turn, coalesce(role, '{UNKNOWN}') AS speaker, regexp_replace(coalesce(text, ''), '<(\\\\*)[|]', '<\\\\\\1|', 'g') AS content, file_row AS rowid_
+    FROM (SELECT *, row_number() OVER () AS file_row FROM conversations)
 ), p AS (
     SELECT DISTINCT conv_id AS cast_id, speaker AS perspective FROM s WHERE speaker <> '{SYSTEM}'
 ), h AS (
     SELECT *, CASE WHEN speaker = perspective THEN '<|assistant|>' || chr(10)
                    WHEN speaker = '{SYSTEM}' THEN '<|system|>' || chr(10)
-                   ELSE '<|user name=' || speaker || '|>' || chr(10) END AS head
+                   ELSE '<|user name=' || regexp_replace(regexp_replace(speaker, '<(\\\\*)[|]', '<\\\\\\1|', 'g'), '[|](\\\\*)>', '|\\\\\\1>', 'g') || '|>' || chr(10) END AS head
     FROM s JOIN p ON conv_id IS NOT DISTINCT FROM cast_id
+), g AS (
+    SELECT *, head || content || '<|end|>' || chr(10) AS segment, turn // {BLOCK} AS part FROM h
+), o AS (
+    SELECT *, sum(length(segment)) OVER w - length(segment) AS pos FROM g
+    WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, segment, rowid_ ROWS UNBOUNDED PRECEDING)
 )
-SELECT conv_id, perspective, turn, speaker, head || content || '<|end|>' || chr(10) AS segment,
-       CASE WHEN speaker = perspective THEN CAST(length(head) AS BIGINT) END AS mask_start,
-       CASE WHEN speaker = perspective THEN CAST(length(head || content || '<|end|>' || chr(10)) AS BIGINT) END AS mask_end
-FROM h
+SELECT conv_id, perspective, part, CAST(min(pos) AS BIGINT) AS start, string_agg(segment, '' ORDER BY pos) AS text,
+       coalesce(string_agg(CAST(pos + length(head) AS BIGINT) || ':' || CAST(pos + length(segment) AS BIGINT), ',' ORDER BY pos) FILTER (speaker = perspective), '') AS mask
+FROM o GROUP BY ALL
 """
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

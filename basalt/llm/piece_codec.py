@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import backquoted
+from .common import backquoted, ship
 
 MARK = "▁"
 #: Entries of the memories of units and of neighbours, of each of two generations; the longest unit kept.
@@ -223,6 +223,7 @@ def transducer(model_file: str) -> PieceTransducer:
 
 def encode_pieces(docs: DataFrame, model_file: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), into: str = "ids") -> DataFrame:
     """The columns of ``keep``, and the ids of the text (array<int>, named ``into``)."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(model_file)
@@ -240,6 +241,7 @@ def encode_pieces(docs: DataFrame, model_file: str, text: str = "text", keep: tu
 
 def decode_pieces(encoded: DataFrame, model_file: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",), into: str = "text") -> DataFrame:
     """The columns of ``keep``, and the text of the ids; null ids decode as no ids."""
+    ship(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(model_file)
@@ -254,6 +256,7 @@ def decode_pieces(encoded: DataFrame, model_file: str, ids: str = "ids", keep: t
 
 def piece_codec(docs: DataFrame, model_file: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_pieces, ids_crc32 and round_trip (decoding gives the text back) of each row of docs."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(model_file)

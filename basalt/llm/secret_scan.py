@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import backquoted
+from .common import backquoted, ship
 
 KINDS = ("assign", "access", "hex", "novel")
 BASE = KINDS[:3]
@@ -242,6 +242,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def secret_scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_novel, base_sha256 and spans of each row of docs."""
+    ship(docs.sparkSession)
     source = docs.select(F.col(backquoted(key)).alias("doc_id"), F.col(backquoted(text)).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(_scan, f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string")
@@ -249,6 +250,7 @@ def secret_scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 def redact_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the secrets of its text column replaced; all else, nulls included, as it was."""
+    ship(docs.sparkSession)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import backquoted, shared_dir, written
+from .common import backquoted, shared_dir, ship, written
 from .units import UnitEncoder
 
 MAGIC, BITS, BLOCK = b"BDAC0001", 8, 512
@@ -189,6 +189,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
     (``start``). Files hold contiguous ranges of the order. folder: a URI that all
     executors can write to; a new one below spark.checkpoint.dir if not given.
     """
+    ship(docs.sparkSession)
     folder = folder or shared_dir(docs.sparkSession, "tokens")
     source = docs.select(F.col(backquoted(key)).cast("long").alias("doc_id"), F.col(backquoted(text)).alias("text"), F.xxhash64(backquoted(text)).alias("tie"))
     ordered = source.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
