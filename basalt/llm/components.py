@@ -1,7 +1,7 @@
 """Connected components of a table of links, without the driver or a hub's task holding them.
 
-Two exact ways share one result. Each partition first keeps a spanning forest of
-its links (union-find). What is left fits one bounded task up to ``SMALL`` links;
+Two exact ways share one result. Each partition first keeps spanning forests of
+bounded numbers of its links (union-find). What is left fits one bounded task up to ``SMALL`` links;
 beyond that, large-star and small-star rounds (Kiveris et al. 2014) run over
 written tables until nothing changes.
 """
@@ -19,6 +19,8 @@ from .common import written
 
 #: Links that one task unites: 16 bytes each on the wire, some 200 in its tables.
 SMALL = 1_000_000
+#: Links of a partition that are united at a time.
+PIECE = 500_000
 
 
 class Forest:
@@ -50,21 +52,33 @@ class Forest:
         return [x for x, r in pairs if x != r], [r for x, r in pairs if x != r]
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    forest = Forest()
-    for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            forest.unite(a, b)
-    a, b = forest.links()
-    for i in range(0, max(len(a), 1), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(a[i : i + 50_000], np.int64)), pa.array(np.array(b[i : i + 50_000], np.int64))], names=["a", "b"])
+def _forest(most: int):
+    """The links of a spanning forest of every ``most`` links of a partition."""
+
+    def told(forest: Forest) -> Iterator[pa.RecordBatch]:
+        a, b = forest.links()
+        for i in range(0, len(a), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(x[i : i + 50_000], np.int64)) for x in (a, b)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, n = Forest(), 0
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                forest.unite(a, b)
+            n += batch.num_rows
+            if n >= most:
+                yield from told(forest)
+                forest, n = Forest(), 0
+        yield from told(forest)
+
+    return run
 
 
 def components(links: DataFrame, small: int = SMALL) -> DataFrame:
     """links: long columns a and b. Returns node, component (the smallest node reachable), without lone nodes."""
-    links = written(links.select("a", "b").where("a <> b").mapInArrow(_forest, "a long, b long"), "links")
+    links = written(links.select("a", "b").where("a <> b").mapInArrow(_forest(PIECE), "a long, b long"), "links")
     if links.count() <= small:
-        united = links.repartition(1).mapInArrow(_forest, "a long, b long")
+        united = links.repartition(1).mapInArrow(_forest(2 * small + 1), "a long, b long")
         stars = written(united, "stars")
     else:
         stars = _stars(links)

@@ -1,9 +1,10 @@
 """Operator 6, near-duplicates: b-bit MinHash, then links confirmed on the full shingle sets.
 
-1. Every document gets its set of word shingles as 64-bit hashes, from them
+1. Every document gets its set of word shingles as 128-bit hashes, from them
    ``PERMS`` minima, from these ``BANDS`` band keys and a signature of the lowest
    ``BITS`` bits of each minimum.
-2. Documents with the same set are one class; only its smallest doc_id goes on.
+2. Documents with the same set (a 128-bit digest of all its hashes) are one class;
+   only its smallest doc_id goes on.
 3. Classes that share a band key are tied to the smallest class of that bucket (a
    tie for each member, never pairs). Tied classes form a family.
 4. Families are cut by hash into chunks of bounded size. First every chunk meets
@@ -11,7 +12,7 @@
    steps that grows with it; then the other pairs of chunks meet, unless both hold
    the same single component. In a meeting the signatures are compared by bit counts,
    corrected for chance agreement of b bits; pairs that may be similar and are not
-   connected yet are confirmed on the full sets.
+   connected yet are confirmed on the full sets, by the first 64 bits of each hash.
 5. Links give components.
 
 A pair of similarity 0.75 shares no band with probability (1 - 0.75^4)^32 = 5e-6;
@@ -21,7 +22,8 @@ estimate drops pairs below ``FLOOR``, five standard errors under the threshold.
 Defined results: null, empty and wordless texts have the empty set and are linked
 with nothing; a row whose doc_id is null is returned with itself (null) as its
 component and not compared; repeated rows are linked with each other; an empty
-table gives an empty result.
+table gives an empty result; columns of other names are never looked at; a very long
+text is one set, hashed in steps.
 """
 
 from __future__ import annotations
@@ -41,7 +43,9 @@ BANDS, ROWS, BITS = 32, 4, 4
 PERMS = BANDS * ROWS
 FLOOR = 0.55
 #: Bytes of shingle hashes in a chunk of a family.
-CHUNK_BYTES = 500_000
+CHUNK_BYTES = 250_000
+#: Rows of two longs in a list that is broadcast: some 50 MB where it is looked up.
+LIST_ROWS = 1_000_000
 #: Words that are hashed at once.
 STEP = 1 << 16
 
@@ -58,42 +62,36 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 _SALTS = _mix(np.arange(1, PERMS + 1, dtype=np.uint64) * _BASE)
-_BYTE = _mix(np.arange(256, dtype=np.uint64) + np.uint64(77))
-_powers = np.ones(1, np.uint64)
-
-
-def _powers_to(n: int) -> np.ndarray:
-    """Powers of the base, kept from call to call."""
-    global _powers
-    if len(_powers) < n:
-        more = np.full(max(n, 2 * len(_powers)), _BASE, np.uint64)
-        more[0] = 1
-        _powers = np.multiply.accumulate(more)
-    return _powers[:n]
 
 
 def _word_hashes(parts: list[bytes]) -> np.ndarray:
-    """A word's hash: its polynomial, summed from its first byte on."""
-    flat = np.frombuffer(b"".join(parts), np.uint8)
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    begins = np.cumsum(sizes) - sizes
-    place = np.arange(len(flat)) - np.repeat(begins, sizes)
-    return _mix(np.add.reduceat(_BYTE[flat] * _powers_to(int(sizes.max()))[place], begins) + sizes.astype(np.uint64))
+    """128-bit hashes of words, as two columns."""
+    from xxhash import xxh3_128_digest
+
+    return np.frombuffer(b"".join(map(xxh3_128_digest, parts)), np.uint64).reshape(-1, 2)
 
 
 def shingles(text: str) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text."""
-    data = text.encode("utf-8", "surrogatepass").translate(_WORDS)
-    parts = data.split()
+    """The distinct shingles of a text as 128-bit hashes: two columns, sorted."""
+    parts = text.encode("utf-8", "surrogatepass").translate(_WORDS).split()
     if not parts:
-        return np.zeros(0, np.uint64)
+        return np.zeros((0, 2), np.uint64)
     hashes = np.concatenate([_word_hashes(parts[i : i + STEP]) for i in range(0, len(parts), STEP)])
-    if len(parts) < SHINGLE:
-        return _combine([hashes[i : i + 1] for i in range(len(parts))])
-    return np.unique(_combine([hashes[i : len(parts) - SHINGLE + 1 + i] for i in range(SHINGLE)]))
+    size = min(SHINGLE, len(parts))
+    n = len(parts) - size + 1
+    one, two = (_combine([hashes[i : n + i, lane] for i in range(size)]) for lane in (0, 1))
+    order = np.argsort(one)
+    one, two = one[order], two[order]
+    new = np.ones(n, bool)
+    new[1:] = one[1:] != one[:-1]
+    if (~new & np.concatenate([[False], two[1:] != two[:-1]])).any():
+        # Different shingles of one first column: they are told apart by the second.
+        return np.unique(np.stack([one, two], axis=1), axis=0)
+    return np.stack([one[new], two[new]], axis=1)
 
 
 def _combine(columns: list[np.ndarray]) -> np.ndarray:
+    """A hash of each row; every step is mixed, so no pattern of rows cancels out."""
     out = np.full(len(columns[0]), len(columns), np.uint64)
     for c in columns:
         out = _mix(out * _BASE + c)
@@ -101,7 +99,7 @@ def _combine(columns: list[np.ndarray]) -> np.ndarray:
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
-    """The minimum of each salted order of the set, in steps of bounded memory."""
+    """The minimum of each salted order of a set of 64-bit hashes, in steps of bounded memory."""
     best = np.full(PERMS, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(hashes), 4096):
         part = hashes[i : i + 4096, None] ^ _SALTS
@@ -144,7 +142,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = shingles(text.as_py() or "")
             sizes.append(len(found))
             keys.append(blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-            best = minima(found) if len(found) else None
+            best = minima(found[:, 0]) if len(found) else None
             bands.append(band_keys(best).view(np.int64) if len(found) else [])
             signatures.append(packed(best) if len(found) else None)
         yield pa.RecordBatch.from_arrays(
@@ -155,7 +153,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingles(text.as_py() or "").tobytes() for text in batch.column("text")]
+        sets = [shingles(text.as_py() or "")[:, 0].tobytes() for text in batch.column("text")]
         rest = [batch.column(n) for n in ("family", "n_chunks", "doc_id", "signature")]
         yield pa.RecordBatch.from_arrays([*rest, pa.array(sets, pa.binary())], names=["family", "n_chunks", "doc_id", "signature", "shingles"])
 
@@ -223,15 +221,21 @@ def near_links(reps: DataFrame, texts: DataFrame, chunk_bytes: int = CHUNK_BYTES
     families = components(ties).withColumnsRenamed({"node": "doc_id", "component": "family"})
     placed = written(families.join(reps.select("doc_id", "tie", "n_shingles", "signature"), "doc_id"), "placed")
     sizes = written(placed.groupBy("family").agg(F.ceil(F.sum(F.col("n_shingles") * 8 + 96) / chunk_bytes).cast("int").alias("n_chunks")), "sizes")
+    # Texts outside of families stay where they are, as long as the list of those inside is small.
+    inside = placed.select("doc_id", "tie")
+    if inside.count() <= LIST_ROWS:
+        texts = texts.join(F.broadcast(inside), ["doc_id", "tie"], "left_semi")
     members = placed.join(sizes, "family").select("family", "n_chunks", "doc_id", "tie", "signature").join(texts.dropDuplicates(["doc_id", "tie"]), ["doc_id", "tie"])
     with_sets = members.select("family", "n_chunks", "doc_id", "signature", "text").mapInArrow(_with_sets, "family long, n_chunks int, doc_id long, signature binary, shingles binary")
     numbered = with_sets.withColumn("component", F.col("doc_id")).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("n_chunks")).cast("int"))
     chunks = written(_chunked(numbered), "chunks")
     # As many meetings as chunks: each with itself, and a family's first with its others.
     alone = chunks.select(F.col("members").alias("one"), F.lit(None).cast(chunks.schema["members"].dataType).alias("two"), F.lit(False).alias("known"))
+    # A family's first chunk comes once to the join; where it meets many others, adaptive execution splits these.
     several = chunks.where("n_chunks > 1")
-    others = F.when(F.col("chunk") == 0, F.sequence(F.lit(1), F.col("n_chunks") - 1)).otherwise(F.array().cast("array<int>"))
-    links = written(alone.mapInArrow(_meet, "a long, b long").unionByName(_meetings(several, others, False)), "first_links")
+    firsts, others = (several.where(c).select("family", F.col("members").alias(n)) for c, n in (("chunk = 0", "one"), ("chunk > 0", "two")))
+    met = others.join(firsts, "family").select("one", "two", F.lit(False).alias("known"))
+    links = written(alone.mapInArrow(_meet, "a long, b long").unionByName(met.mapInArrow(_meet, "a long, b long")), "first_links")
     several = chunks.where("n_chunks > 2")
     if several.isEmpty():
         return links

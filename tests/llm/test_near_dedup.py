@@ -76,6 +76,16 @@ def test_near_dedup(spark, chunk_bytes):
     assert got == brute(rows)
 
 
+def test_words_that_polynomials_confuse(spark):
+    """A Thue-Morse word and its complement have one polynomial modulo 2^64, whatever the base."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    one, other = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    rows = [(1, one), (2, other), (3, " ".join(one)), (4, " ".join(other)), (5, "x " * 4 + one), (6, "x " * 4 + other)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i: (n, c) for i, n, c, _ in brute([(*r,) for r in rows])}
+    assert got == want and got[2][1] == 2 and got[6][1] == 6
+
+
 def test_empty(spark):
     assert near_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
 
