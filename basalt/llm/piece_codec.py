@@ -1,36 +1,51 @@
 """Operator 2, SentencePiece encoding and decoding by a weighted transducer.
 
-The model's file is compiled once a process into one transducer:
-
-* the normaliser writes a space as its mark and puts one mark before the text;
-* piece arcs read a piece's characters and write its id; the state behind an arc is
-  the piece;
-* fallback arcs read any other character and write the ids of its UTF-8 bytes.
-
-An arc p out of the state of piece q weighs 0 if merging the characters of q and p
-by the model's ranks gives q and p again, else infinity (the zero of the tropical
-semiring). Merges never look beyond the pieces that they join, so a segmentation is
-what the merges give exactly if every two neighbours agree: of the composition with
-an input just one path has a finite weight, and the shortest path is the library's
-result. Weights by rank alone would give a unigram reading of the model, which is
-another segmentation.
-
-Inputs are composed unit by unit: no piece has a mark behind another character, so
-no arc crosses the begin of a run of marks, and none joins two characters that are
-neighbours in no piece. Results of units are kept.
-
-Decoding runs the transducer backwards: pieces to characters, runs of byte ids to
-UTF-8 (what is no UTF-8 becomes U+FFFD byte by byte), marks to spaces, without the
-first.
+The model's file is compiled once a process into transducers that are composed with
+each input:
+
+* the *normaliser*: states are the prefixes of the keys of the model's character map,
+  a final state writes what its key becomes, and the longest key is taken; characters
+  outside all keys are copied. Then spaces become marks, after the model's rules (a
+  mark before the text; runs of spaces as one, none at the ends);
+* the *lexicon*: states are the prefixes of pieces. An arc path that reads a piece
+  writes its id and ends in the state of that piece, at the weight of the piece;
+* the *byte fallback*: an arc that reads a character which is no piece, writes the ids
+  of its UTF-8 bytes and ends in the state of that character.
+
+The composition with an input has a state for each position and each state of the
+lexicon that ends there; it is made as far as it can be reached, its arcs found by the
+lexicon's failure links. Weights are of the
+tropical semiring: along a path they are added, and of the paths into a state the
+least remains, the first found of equals.
+
+Weights follow the kind of the model. In a unigram model a piece weighs what its
+score lacks, and the state behind every piece is the same. In a model of merges (BPE)
+a piece weighs its rank, and one more weight stands between two pieces: nothing if
+merging the characters of both gives both back, else infinity, the semiring's zero.
+Merges never look beyond the pieces that they join, so a segmentation is what the
+merges give exactly if all its neighbours bind: one path of finite weight is left.
+
+Inputs are composed unit by unit: no piece has a mark behind another character, so no
+arc crosses the begin of a run of marks, and none joins two characters that are
+neighbours in no piece. Results of units are kept, in a bounded memory.
+
+Decoding runs the lexicon backwards: pieces to characters, runs of byte ids to UTF-8
+(what is no UTF-8 becomes U+FFFD byte by byte), marks to spaces, without those that
+the normaliser put in front.
+
+Models are refused (ValueError) that have no byte pieces, pieces of the user, unused
+pieces, a piece with a mark behind another character, or marks behind words.
 
 Defined results: null encodes like the empty text, as no ids; repeated rows one by
-one; other columns are never looked at; an empty table gives an empty result.
+one; columns that aren't named are never looked at; an empty table gives an empty
+result; a very long text goes unit by unit, a unit without any place to cut in one go.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from math import inf
 from struct import pack
 
 import numpy as np
@@ -39,10 +54,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import backquoted, ship
+from .piece_model import PieceModel, read_model
 
 MARK = "▁"
 #: Entries of the memories of units and of neighbours, of each of two generations; the longest unit kept.
-UNITS_KEPT, PAIRS_KEPT, LONGEST = 100_000, 250_000, 64
+UNITS_KEPT, PAIRS_KEPT, LONGEST = 100_000, 100_000, 64
+#: Weight of a byte fallback beyond the heaviest piece of a unigram model.
+FALLBACK = 10.0
 
 
 class Kept(dict):
@@ -65,52 +83,131 @@ class Kept(dict):
         return value
 
 
+class Trie:
+    """States of prefixes: arcs by character, and what final states write."""
+
+    def __init__(self):
+        self.arcs: list[dict[str, int]] = [{}]
+        self.final: list = [None]
+
+    def add(self, key: str, output) -> None:
+        state = 0
+        for c in key:
+            after = self.arcs[state].get(c)
+            if after is None:
+                after = self.arcs[state][c] = len(self.arcs)
+                self.arcs.append({})
+                self.final.append(None)
+            state = after
+        self.final[state] = output
+
+
+class Normaliser:
+    """The model's character map and rules of spaces."""
+
+    def __init__(self, model: PieceModel):
+        self.trie = Trie()
+        for key, becomes in model.character_map.items():
+            self.trie.add(key, becomes)
+        self.begins = frozenset(self.trie.arcs[0])
+        self.dummy, self.squeeze = model.dummy_prefix, model.remove_extra_spaces
+
+    def rewritten(self, text: str) -> str:
+        """The composition of the map with a text: longest keys from the left."""
+        if self.begins.isdisjoint(text):
+            return text
+        arcs, final = self.trie.arcs, self.trie.final
+        out, at, n = [], 0, len(text)
+        while at < n:
+            state, end, found, written = 0, at, at, None
+            while end < n and (state := arcs[state].get(text[end], -1)) >= 0:
+                end += 1
+                if final[state] is not None:
+                    found, written = end, final[state]
+            if written is None:
+                out.append(text[at])
+                at += 1
+            else:
+                out.append(written)
+                at = found
+        return "".join(out)
+
+    def units(self, text: str) -> list[str]:
+        """The normalised text with its marks, cut before each run of marks."""
+        if self.begins:
+            text = self.rewritten(text)
+        if not text:
+            return []
+        if self.squeeze:
+            # A mark that the text itself holds is no space to be removed, but at the end.
+            text = " ".join([w for w in text.split(" ") if w]).replace(MARK, " ").rstrip(" ")
+            if not text:
+                return []
+        parts = text.replace(MARK, " ").split(" ")
+        if "" not in parts and self.dummy:
+            return [MARK + p for p in parts]
+        units, marks = [], int(self.dummy)
+        for i, part in enumerate(parts):
+            marks += i > 0
+            if part:
+                units.append(MARK * marks + part)
+                marks = 0
+        return [*units, MARK * marks] if marks else units
+
+
 class PieceTransducer:
-    """The compiled model. Pieces carry the order in which they merge."""
+    """The compiled model."""
 
     def __init__(self, model_file: str):
         import ahocorasick
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        self.ids: dict[str, int] = {}
-        self.rank: dict[str, float] = {}
-        self.byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.texts: list[bytes] = []
-        for i in range(model.get_piece_size()):
-            piece = model.id_to_piece(i)
-            if model.is_byte(i):
-                self.texts.append(bytes([int(piece[3:5], 16)]))
-            elif model.is_control(i):
-                self.texts.append(b"")
-            elif model.is_unknown(i):
-                self.texts.append(" ⁇ ".encode())
-            else:
-                self.texts.append(piece.replace(MARK, " ").encode())
-                if not model.is_unused(i):
-                    self.ids[piece], self.rank[piece] = i, -model.get_score(i)
-        if any(not model.is_byte(i) for i in self.byte_ids):
+
+        model = read_model(model_file)
+        normal = model.normal
+        self.normaliser = Normaliser(model)
+        self.squeeze, self.strips = model.remove_extra_spaces, model.dummy_prefix or model.remove_extra_spaces
+        self.ids = {p: i for i, p in enumerate(model.pieces) if i in normal}
+        if len(model.byte_ids) < 256:
             raise ValueError("the model has no byte pieces")
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece has a mark behind another character")
-        self.arcs = ahocorasick.Automaton()
-        for piece, i in self.ids.items():
-            self.arcs.add_word(piece, (len(piece), piece, (i,)))
-        self.arcs.make_automaton()
-        self.alphabet = {c for p in self.ids for c in p}
+        self.fallback = [(model.byte_ids[b],) for b in range(256)]
+        self.merging = model.merging
+        self.split: dict[str, tuple[str, str]] = {}
+        if self.merging:
+            # Ranks: the order of merges; equal scores share one.
+            order = {s: r for r, s in enumerate(sorted({model.scores[i] for i in self.ids.values()}, reverse=True))}
+            self.rank = {p: order[model.scores[i]] for p, i in self.ids.items()}
+            weights = {p: float(r) for p, r in self.rank.items()}
+            for p in self.ids:
+                if len(p) > 1:
+                    self._learn_split(p)
+            self.fallback_weight = 0.0
+        else:
+            # Sums in single precision, as the library's: they decide between paths of equal pieces.
+            weights = {p: np.float32(-model.scores[i]) for p, i in self.ids.items()}
+            self.fallback_weight = max(weights.values()) + np.float32(FALLBACK)
+        self.lexicon = ahocorasick.Automaton()
+        for p, i in self.ids.items():
+            # A piece that its own merges don't give is on no path of finite weight.
+            if not self.merging or len(p) == 1 or p in self.split:
+                self.lexicon.add_word(p, (len(p), p if self.merging else "", (i,), weights[p]))
+        self.lexicon.make_automaton()
+        self.pieces_of_one = frozenset(p for p in self.ids if len(p) == 1)
         #: Neighbours in some piece; between any others every segmentation has a cut.
         self.joined = {pair for p in self.ids for pair in zip(p, p[1:], strict=False)}
-        self.agree = Kept(PAIRS_KEPT, self._agree)
+        self.between = Kept(PAIRS_KEPT, self._between)
         self.units = Kept(UNITS_KEPT, self._unit)
-        sizes = np.array([len(t) for t in self.texts], np.int64)
+        texts = model.texts(MARK)
+        sizes = np.array([len(t) for t in texts], np.int64)
         self.sizes, self.begins = sizes, np.cumsum(sizes) - sizes
-        self.bytes = np.frombuffer(b"".join(self.texts), np.uint8)
-        self.is_byte = np.zeros(len(self.texts), bool)
-        self.is_byte[self.byte_ids] = True
-
-    def merged(self, text: str) -> list[str]:
-        """The merges themselves, the best pair first and of equals the leftmost: what weights are made from."""
-        parts, rank = list(text), self.rank
+        self.bytes = np.frombuffer(b"".join(texts), np.uint8)
+        self.is_byte = np.zeros(len(texts), bool)
+        self.is_byte[list(model.byte_ids.values())] = True
+        self.lone_marks = np.array([p[:1] == MARK for p in model.pieces])
+
+    def _learn_split(self, piece: str) -> None:
+        """The two pieces that the last merge inside a piece joins, if its merges give the piece."""
+        parts, rank = list(piece), self.rank
         while len(parts) > 1:
             best, at = None, -1
             for i in range(len(parts) - 1):
@@ -118,42 +215,79 @@ class PieceTransducer:
                 if r is not None and (best is None or r < best):
                     best, at = r, i
             if at < 0:
-                break
+                return
+            if len(parts) == 2:
+                self.split[piece] = (parts[0], parts[1])
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
 
-    def _agree(self, pair: tuple[str, str]) -> bool:
-        """Whether the arc of the second piece weighs 0 behind the first (empty: behind the begin or a fallback)."""
-        return self.merged(pair[0] + pair[1]) == [p for p in pair if p]
+    def _between(self, pair: tuple[str, str]) -> float:
+        """The weight between two pieces: 0 if no merge crosses from one to the other, else infinity.
+
+        Merges are taken back, the latest first, and the pair that then meets at the
+        border would have merged if its rank is before that of the merge taken back
+        (or equal to it, to the right of the border).
+        """
+        a, b = pair
+        rank, split = self.rank, self.split
+        before = inf
+        while True:
+            r = rank.get(a + b)
+            if r is not None and r < before:
+                return inf
+            of_a, of_b = (rank[a] if a in split else -1), (rank[b] if b in split else -1)
+            if of_a > of_b:
+                before, a = of_a, split[a][1]
+            elif of_b >= 0:
+                before, b = of_b + 1, split[b][0]
+            else:
+                return 0.0
 
     def shortest_path(self, unit: str) -> list[int]:
-        """The ids along the one path of finite weight through the composition with a unit."""
-        agree, n = self.agree, len(unit)
-        # best[j]: last arc of the finite path to position j: its piece (empty: begin or fallback), its begin, its ids.
-        best: list[tuple | None] = [None] * (n + 1)
-        best[0] = ("", 0, ())
-        final = 0 if not self.alphabet.issuperset(unit) else n
-        for last, (size, piece, ids) in self.arcs.iter(unit):
-            if final < last:
-                self._fall_back(unit, best, final, last)
-                final = last
-            end = last + 1
-            if best[end] is None:
-                before = best[end - size]
-                if before is not None and agree[before[0], piece]:
-                    best[end] = (piece, end - size, ids)
-        self._fall_back(unit, best, final, n)
+        """The ids along the least path of the composition of fallback and lexicon with a unit.
+
+        One state a position is enough: unigram models have but one, and of the states
+        of a position one at most is reached at a finite weight in models of merges.
+        """
+        n, merging, between = len(unit), self.merging, self.between
+        weight, state, begin, out = [inf] * (n + 1), [""] * (n + 1), [0] * (n + 1), [()] * (n + 1)
+        weight[0] = 0.0 if merging else np.float32(0)
+        known = self.pieces_of_one.issuperset(unit)
+        settled = n if known else 0
+        # Arcs by their ends, of one end the longest first; each begins where all arcs are behind it.
+        for last, (size, to, ids, cost) in self.lexicon.iter(unit):
+            if settled < last:
+                self._relax_fallback(unit, settled, last, weight, state, begin, out)
+                settled = last
+            end, at = last + 1, last + 1 - size
+            total = weight[at] + cost
+            if total < weight[end]:
+                if merging:
+                    if weight[end] < inf:
+                        continue
+                    before = state[at]
+                    if before and between[before, to]:
+                        continue
+                weight[end], state[end], begin[end], out[end] = total, to, at, ids
+        if settled < n:
+            self._relax_fallback(unit, settled, n, weight, state, begin, out)
         path = []
         while n:
-            _, n, ids = best[n]
-            path.append(ids)
+            path.append(out[n])
+            n = begin[n]
         return [i for ids in reversed(path) for i in ids]
 
-    def _fall_back(self, unit: str, best: list, begin: int, end: int) -> None:
-        """Fallback arcs in a range where no piece arc came."""
-        for at in range(begin, end):
-            if best[at + 1] is None and best[at] is not None and unit[at] not in self.ids:
-                best[at + 1] = ("", at, tuple(self.byte_ids[b] for b in unit[at].encode("utf-8", "replace")))
+    def _relax_fallback(self, unit: str, low: int, high: int, weight: list, state: list, begin: list, out: list) -> None:
+        """The arcs of the byte fallback that begin in a range."""
+        for at in range(low, high):
+            c = unit[at]
+            if c in self.ids or weight[at] == inf:
+                continue
+            to, total = c if self.merging else "", weight[at] + self.fallback_weight
+            if total < weight[at + 1] and not (self.merging and state[at] and self.between[state[at], to]):
+                weight[at + 1], state[at + 1], begin[at + 1], out[at + 1] = total, to, at, self._fallback_ids(c)
+
+    def _fallback_ids(self, c: str) -> tuple[int, ...]:
+        return tuple(i for b in c.encode("utf-8", "replace") for i in self.fallback[b])
 
     def _unit(self, unit: str) -> bytes:
         joined = self.joined
@@ -166,21 +300,7 @@ class PieceTransducer:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text."""
-        if not text:
-            return np.zeros(0, "<u4")
-        # The dummy mark, then a mark for each space: a unit is a run of marks and what follows up to the next.
-        parts = text.replace(MARK, " ").split(" ")
-        if "" not in parts:
-            return np.frombuffer(b"".join(map(self.units.__getitem__, [MARK + p for p in parts])), "<u4")
-        units, marks = [], 0
-        for part in parts:
-            marks += 1
-            if part:
-                units.append(MARK * marks + part)
-                marks = 0
-        if marks:
-            units.append(MARK * marks)
-        return np.frombuffer(b"".join(map(self.units.__getitem__, units)), "<u4")
+        return np.frombuffer(b"".join(map(self.units.__getitem__, self.normaliser.units(text))), "<u4")
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids."""
@@ -190,14 +310,26 @@ class PieceTransducer:
         ends = np.cumsum(sizes)
         places = np.repeat(self.begins[ids] - (ends - sizes), sizes) + np.arange(ends[-1])
         data = self.bytes[places].tobytes()
-        # The first piece loses the dummy mark; ids that begin otherwise have none.
-        if data[:1] == b" " and not self.is_byte[ids[0]]:
-            data = data[1:]
+        if self.strips:
+            data = data[self._marks_before(ids, sizes) :]
         try:
             return data.decode()
         except UnicodeDecodeError:
             return _lossy(data)
 
+    def _marks_before(self, ids: np.ndarray, sizes: np.ndarray) -> int:
+        """Marks in front that the normaliser may have put there: one, or that of each piece before any other character."""
+        gone = 0
+        for i, size in zip(ids.tolist(), sizes.tolist(), strict=True):
+            if self.is_byte[i] or not self.lone_marks[i]:
+                if size:
+                    break
+                continue
+            gone += 1
+            if size > 1 or not self.squeeze:
+                break
+        return gone
+
 
 def _lossy(data: bytes) -> str:
     out, at = [], 0
@@ -206,7 +338,7 @@ def _lossy(data: bytes) -> str:
             out.append(data[at:].decode())
             break
         except UnicodeDecodeError as e:
-            out += [data[at : at + e.start].decode(), "�"]
+            out += [data[at : at + e.start].decode(), "\ufffd"]
             at += e.start + 1
     return "".join(out)
 

@@ -13,7 +13,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from basalt.llm.perspectives import _escaped, perspectives, rendered, unescaped
-from basalt.llm.piece_codec import decode_pieces, encode_pieces, piece_codec, transducer
+from basalt.llm.piece_codec import PieceTransducer, decode_pieces, encode_pieces, piece_codec, transducer
 from basalt.llm.quality_rules import quality_rules
 from basalt.llm.secret_scan import novelty, redact_secrets, redacted, secret_scan, spans_of, written_spans
 from basalt.llm.token_counts import spliced_ids
@@ -152,6 +152,47 @@ def test_pieces_are_the_library_s():
         assert machine.decode(np.array(ids, np.int64)) == library.decode(ids), repr(text)
 
 
+def other_model(tmp_path, kind, rules, squeeze, dummy):
+    """The model with another normaliser, or read as a unigram model."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto.FromString(open(MODEL, "rb").read())
+    if rules:
+        made = pb.ModelProto.FromString(sentencepiece.SentencePieceNormalizer(rule_name=rules).serialized_model_proto())
+        model.normalizer_spec.CopyFrom(made.normalizer_spec)
+    model.normalizer_spec.remove_extra_whitespaces, model.normalizer_spec.add_dummy_prefix = squeeze, dummy
+    model.trainer_spec.model_type = kind
+    if kind == 1:
+        r = random.Random(3)
+        for p in model.pieces:
+            p.score = -round(r.uniform(4, 16), 3) * len(p.piece) ** 0.5
+    path = tmp_path / f"{kind}-{rules}-{squeeze}-{dummy}.model"
+    path.write_bytes(model.SerializeToString())
+    return str(path)
+
+
+@pytest.mark.parametrize(("kind", "rules", "squeeze", "dummy"), [(2, "nmt_nfkc", True, True), (2, "nfkc_cf", False, True), (2, "", True, False), (2, "", False, False), (1, "", False, True), (1, "nmt_nfkc", True, True)])
+def test_other_models(tmp_path, kind, rules, squeeze, dummy):
+    path = other_model(tmp_path, kind, rules, squeeze, dummy)
+    library, machine = sentencepiece.SentencePieceProcessor(model_file=path), transducer(path)
+    odd = ["ﬁ  Ⅷ　x\t", "  two  ends ", "ｶﾞ ①② ½", "e\u0301 A\u030a", "\u200b\ufeff x \u00ad", "   ", "▁", " ▁ ▁", "▁ a ▁", "ǅ ß İ", "\x01\x7f b", "a\u3000\u3000b"]
+    for text in [x or "" for x in ODD] + odd + [mixed(s) for s in range(300)] + ["".join(chr(random.Random(s).randrange(32, 12500)) for _ in range(40)) for s in range(200)]:
+        ids = machine.encode(text).tolist()
+        assert ids == library.encode(text), repr(text)
+        assert machine.decode(np.array(ids, np.int64)) == library.decode(ids), repr(text)
+
+
+def test_refused_models(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    for change in (lambda m: m.pieces.add(piece="<sep>", score=0, type=4), lambda m: setattr(m.trainer_spec, "treat_whitespace_as_suffix", True), lambda m: setattr(m.trainer_spec, "model_type", 3), lambda m: m.pieces.add(piece="a▁b", score=-9e9, type=1)):
+        model = pb.ModelProto.FromString(open(MODEL, "rb").read())
+        change(model)
+        (tmp_path / "refused.model").write_bytes(model.SerializeToString())
+        with pytest.raises(ValueError):
+            PieceTransducer(str(tmp_path / "refused.model"))
+
+
 def test_decoding_any_ids():
     library, machine = sentencepiece.SentencePieceProcessor(model_file=MODEL), transducer(MODEL)
     r = random.Random(2)
