@@ -27,7 +27,8 @@ merges give exactly if all its neighbours bind: one path of finite weight is lef
 
 Inputs are composed unit by unit: no piece has a mark behind another character, so no
 arc crosses the begin of a run of marks, and none joins two characters that are
-neighbours in no piece. Results of units are kept, in a bounded memory.
+neighbours in no piece. In models of merges the results of units are kept, in a
+bounded memory.
 
 Decoding runs the lexicon backwards: pieces to characters, runs of byte ids to UTF-8
 (what is no UTF-8 becomes U+FFFD byte by byte), marks to spaces, without those that
@@ -181,11 +182,9 @@ class PieceTransducer:
             for p in self.ids:
                 if len(p) > 1:
                     self._learn_split(p)
-            self.fallback_weight = 0.0
         else:
-            # Sums in single precision, as the library's: they decide between paths of equal pieces.
-            weights = {p: np.float32(-model.scores[i]) for p, i in self.ids.items()}
-            self.fallback_weight = max(weights.values()) + np.float32(FALLBACK)
+            weights = {p: -model.scores[i] for p, i in self.ids.items()}
+            self.fallback_weight = _single(max(weights.values()) + FALLBACK)
         self.lexicon = ahocorasick.Automaton()
         for p, i in self.ids.items():
             # A piece that its own merges don't give is on no path of finite weight.
@@ -242,15 +241,15 @@ class PieceTransducer:
             else:
                 return 0.0
 
-    def shortest_path(self, unit: str) -> list[int]:
-        """The ids along the least path of the composition of fallback and lexicon with a unit.
+    def shortest_path(self, unit: str, so_far: float = 0.0) -> tuple[list[int], float]:
+        """The ids along the least path of the composition of fallback and lexicon with a unit, and the path's weight on top of what lies before.
 
         One state a position is enough: unigram models have but one, and of the states
         of a position one at most is reached at a finite weight in models of merges.
         """
         n, merging, between = len(unit), self.merging, self.between
         weight, state, begin, out = [inf] * (n + 1), [""] * (n + 1), [0] * (n + 1), [()] * (n + 1)
-        weight[0] = 0.0 if merging else np.float32(0)
+        weight[0] = so_far
         known = self.pieces_of_one.issuperset(unit)
         settled = n if known else 0
         # Arcs by their ends, of one end the longest first; each begins where all arcs are behind it.
@@ -259,7 +258,8 @@ class PieceTransducer:
                 self._relax_fallback(unit, settled, last, weight, state, begin, out)
                 settled = last
             end, at = last + 1, last + 1 - size
-            total = weight[at] + cost
+            # Unigram sums are rounded to single precision, as the library's: that decides between paths of equal pieces.
+            total = weight[at] + cost if merging else _single(weight[at] + cost)
             if total < weight[end]:
                 if merging:
                     if weight[end] < inf:
@@ -270,11 +270,11 @@ class PieceTransducer:
                 weight[end], state[end], begin[end], out[end] = total, to, at, ids
         if settled < n:
             self._relax_fallback(unit, settled, n, weight, state, begin, out)
-        path = []
-        while n:
-            path.append(out[n])
-            n = begin[n]
-        return [i for ids in reversed(path) for i in ids]
+        path, end = [], n
+        while end:
+            path.append(out[end])
+            end = begin[end]
+        return [i for ids in reversed(path) for i in ids], weight[n]
 
     def _relax_fallback(self, unit: str, low: int, high: int, weight: list, state: list, begin: list, out: list) -> None:
         """The arcs of the byte fallback that begin in a range."""
@@ -282,7 +282,7 @@ class PieceTransducer:
             c = unit[at]
             if c in self.ids or weight[at] == inf:
                 continue
-            to, total = c if self.merging else "", weight[at] + self.fallback_weight
+            to, total = (c, weight[at]) if self.merging else ("", _single(weight[at] + self.fallback_weight))
             if total < weight[at + 1] and not (self.merging and state[at] and self.between[state[at], to]):
                 weight[at + 1], state[at + 1], begin[at + 1], out[at + 1] = total, to, at, self._fallback_ids(c)
 
@@ -295,11 +295,18 @@ class PieceTransducer:
         cuts = [] if unit.lstrip(MARK).isalpha() else [i for i, pair in enumerate(zip(unit, unit[1:], strict=False), 1) if pair not in joined]
         if cuts:
             return b"".join([self.units[unit[a:b]] for a, b in zip([0, *cuts], [*cuts, len(unit)], strict=True)])
-        ids = self.shortest_path(unit)
+        ids, _ = self.shortest_path(unit)
         return pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text."""
+        if not self.merging:
+            # Weights run on through the text, since rounding depends on them; so nothing is kept.
+            found, weight = [], 0.0
+            for unit in self.normaliser.units(text):
+                ids, weight = self.shortest_path(unit, weight)
+                found += ids
+            return np.array(found, "<u4")
         return np.frombuffer(b"".join(map(self.units.__getitem__, self.normaliser.units(text))), "<u4")
 
     def decode(self, ids: np.ndarray) -> str:
@@ -331,6 +338,10 @@ class PieceTransducer:
         return gone
 
 
+def _single(x: float) -> float:
+    return float(np.float32(x))
+
+
 def _lossy(data: bytes) -> str:
     out, at = [], 0
     while at < len(data):
