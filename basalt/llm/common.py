@@ -18,8 +18,20 @@ from pyspark.sql import functions as F
 _shipped: set[str] = set()
 
 
+#: Bytes of an Arrow batch: with long texts, batches by rows alone fill the workers' memory.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8_000_000
+
+
+def size_of(setting: str) -> int:
+    """Bytes of a size with or without a unit; what isn't positive is no bound."""
+    number, unit = re.match(r"(-?\d+)([kmgtp]?)b?$", setting.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ") if int(number) > 0 else 1 << 62
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once an application, for those that don't have it installed."""
+    """Send this package to the executors, once an application, for those that don't have it installed; bound the batches that they get."""
+    if size_of(spark.conf.get(BATCH)) > BATCH_BYTES:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

@@ -62,10 +62,10 @@ def packed(docs: DataFrame, key: str, text: str, pack_bytes: int = PACK_BYTES) -
     return written(source.mapInArrow(run, PACK_SCHEMA), "packs")
 
 
-def n_parts(packs: DataFrame) -> int:
+def n_parts(packs: DataFrame, part_bytes: int = PART_BYTES) -> int:
     """Parts of an exchange: by the size of the texts, and no fewer than the session's shuffle partitions."""
     size = packs.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    return max(int(packs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // PART_BYTES))
+    return max(int(packs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // part_bytes))
 
 
 def texts_in(row: dict) -> list[bytes]:
@@ -180,6 +180,21 @@ class Judged:
         return [(first[a:b], last[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
+def split_counts(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The parts that sorted keys fall into by their high bits, and where each begins."""
+    part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    return np.unique(part, return_index=True)
+
+
+def with_rows(packs: DataFrame, rows: DataFrame, work: Callable[[dict, pa.Table], Iterator[pa.RecordBatch]], schema: pa.Schema, spark_schema: str) -> DataFrame:
+    """work(pack, its rows) of every pack, those without a row too."""
+
+    def run(pack: pa.Table, own: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([b for row in pack.to_pylist() for b in work(row, own)], schema)
+
+    return packs.groupBy("pack").cogroup(rows.groupBy("pack")).applyInArrow(run, spark_schema)
+
+
 def with_replies(packs: DataFrame, replies: DataFrame, work: Callable[[dict, list[bytes]], Iterator[pa.RecordBatch]], schema: pa.Schema, spark_schema: str) -> DataFrame:
     """work(pack, its replies) of every pack, those without a reply too."""
 

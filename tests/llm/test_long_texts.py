@@ -13,7 +13,7 @@ from basalt.llm.near_dedup import shingles
 from basalt.llm.piece_codec import transducer
 from basalt.llm.repeats import contexts, covered, windows
 from basalt.llm.secret_scan import redacted, spans_of
-from basalt.llm.substring_dedup import split_words, word_symbols
+from basalt.llm.substring_dedup import split_words, window_hashes, word_hashes
 from basalt.llm.suffix_dedup import byte_symbols
 from basalt.llm.token_counts import spliced_ids
 from basalt.llm.units import UnitEncoder
@@ -29,11 +29,13 @@ def test_shingles():
     assert len(shingles(TEXT)) == len(word_set(TEXT))
 
 
-def test_word_symbols_agree_across_steps():
-    symbols, parts = word_symbols(TEXT.encode()), split_words(TEXT.encode())
-    seen = {}
-    assert all(seen.setdefault(w, s) == s for w, s in zip(parts, symbols.tolist(), strict=True))
-    assert len(set(symbols.tolist())) == len(seen)
+def test_word_hashes_agree_across_steps():
+    parts = split_words(TEXT.encode())
+    hashes, seen = word_hashes(parts), {}
+    assert all(seen.setdefault(w, h) == h for w, h in zip(parts, map(tuple, hashes.tolist()), strict=True))
+    assert len(set(map(tuple, hashes.tolist()))) == len(seen)
+    h = window_hashes(hashes[:, 0], 35, 1)
+    assert len(h) == len(parts) - 34 and h[70_000] == window_hashes(hashes[70_000:70_035, 0], 35, 1)[0]
 
 
 def test_contexts_name_every_window_once():

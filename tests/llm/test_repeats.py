@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from basalt.llm.substring_dedup import split_words, substring_dedup
@@ -57,13 +58,75 @@ def test_suffix_dedup(spark, length, k):
     assert sorted(map(tuple, got), key=str) == sorted(brute_bytes(rows, length), key=str)
 
 
-@pytest.mark.parametrize(("length", "k"), [(6, 2), (9, 4), (12, 12)])
-def test_substring_dedup(spark, length, k):
+@pytest.mark.parametrize("length", [2, 6, 9, 12])
+def test_substring_dedup(spark, length):
     rows = corpus(length, "é")
-    got = substring_dedup(spark.createDataFrame(rows, SCHEMA).repartition(4), length, k).collect()
+    got = substring_dedup(spark.createDataFrame(rows, SCHEMA).repartition(4), length).collect()
     assert sorted(map(tuple, got), key=str) == sorted(brute_words(rows, length), key=str)
 
 
+def branching_corpus():
+    """Passages that share parts in all ways: before and behind different ones, inside each other, over themselves."""
+    r = random.Random(21)
+    word = lambda: f"w{r.randrange(10**6)}"
+    a, b, c, d = ([word() for _ in range(n)] for n in (30, 14, 20, 8))
+    texts = [a + b, a + c, b + a, c + d + b, a[5:25] + d, [word()] + a[:12] + [word()] + b, d * 6, d * 4 + [word()], a + [word()] + a[3:], b[:9] + a[20:] + c, a + b, a + b, [word() for _ in range(40)]]
+    texts += [[word() for _ in range(r.randrange(6))] + r.choice([a, b, c, d])[r.randrange(5) :] + r.choice([a, b, c, d])[: r.randrange(3, 30)] for _ in range(40)]
+    return [(i, " ".join(t), 1, "") for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("length", [3, 7, 10])
+def test_branching_paths(spark, length):
+    rows = branching_corpus()
+    got = substring_dedup(spark.createDataFrame(rows, SCHEMA).repartition(6), length).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_words(rows, length))
+
+
+def test_words_that_polynomials_confuse(spark):
+    """A Thue-Morse word and its complement have one polynomial modulo 2^64, whatever the base."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    one, other = ("".join(x[b] for b in bits) for x in ("ab", "ba"))
+    same = " ".join(f"w{i}" for i in range(34))
+    rows = [(1, f"{same} {one}", 1, ""), (2, f"{same} {other}", 1, ""), (3, " ".join(one), 1, ""), (4, "x " + " ".join(other), 1, "")]
+    got = substring_dedup(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_words(rows, 35)) and {r.n_removed for r in got if r.doc_id < 3} == {0}
+
+
+@pytest.mark.parametrize("bits", [4, 9])
+def test_candidates_that_only_hashes_repeat(spark, monkeypatch, bits):
+    """With few bits counted almost every edge is a candidate; digests still tell them apart."""
+    rows = corpus(5, "é")
+    seen = list(run_locally(rows, 6, np.uint64((1 << bits + 1) - 2)))
+    assert sorted(seen, key=str) == sorted(brute_words(rows, 6), key=str)
+
+
+def run_locally(rows, length, mask):
+    """The operator with another number of counted bits: patched where its functions run, in the workers."""
+    import basalt.llm.substring_dedup as m
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    ask, answer = m._ask, m._answer
+
+    def few(length, parts):
+        inner = ask(length, parts)
+
+        def run(batches):
+            import basalt.llm.substring_dedup as inside
+
+            inside._BITS = mask
+            yield from inner(batches)
+            inside._BITS = np.uint64((1 << 40) - 2)
+
+        return run
+
+    m._ask = few
+    try:
+        return [tuple(r) for r in m.substring_dedup(spark.createDataFrame(rows, SCHEMA).repartition(3), length).collect()]
+    finally:
+        m._ask, m._answer = ask, answer
+
+
 def test_long_texts_in_steps(spark, monkeypatch):
     import basalt.llm.repeats as repeats
 
