@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import backquoted, written
-from .repeats import Contexts, contexts, mix, windows
+from .repeats import mix
 
 #: Bytes of text, and documents, after which a pack is closed.
 PACK_BYTES, PACK_DOCS = 6_000_000, 20_000
@@ -24,10 +24,6 @@ PACK_BYTES, PACK_DOCS = 6_000_000, 20_000
 PART_BYTES = 64_000_000
 
 PACK_SCHEMA = "pack long, doc_ids array<long>, sizes array<long>, body binary"
-ASK_SCHEMA = "part int, pack long, keys binary"
-REPLY_SCHEMA = "pack long, keys binary"
-_ASK = pa.schema([("part", pa.int32()), ("pack", pa.int64()), ("keys", pa.binary())])
-_REPLY = pa.schema([("pack", pa.int64()), ("keys", pa.binary())])
 
 
 def packed(docs: DataFrame, key: str, text: str, pack_bytes: int = PACK_BYTES) -> DataFrame:
@@ -82,104 +78,6 @@ def digit(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((mix(keys) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def dealt(pack: int, part: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
-    """One ask a part: the entries of each part, column after column."""
-    order = np.argsort(part, kind="stable")
-    found, begins = np.unique(part[order], return_index=True)
-    ends = np.append(begins[1:], len(order))
-    keys = [b"".join(c[order[a:b]].tobytes() for c in columns) for a, b in zip(begins, ends, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([pack] * len(found), pa.int64()), pa.array(keys, pa.binary())], schema=_ASK)
-
-
-def undealt(keys: bytes, dtypes: tuple) -> list[np.ndarray]:
-    """The columns of an ask's or reply's entries."""
-    n = len(keys) // sum(np.dtype(d).itemsize for d in dtypes)
-    out, at = [], 0
-    for d in dtypes:
-        out.append(np.frombuffer(keys, d, n, at))
-        at += n * np.dtype(d).itemsize
-    return out
-
-
-def all_columns(blobs: list[bytes], dtypes: tuple) -> list[np.ndarray]:
-    """undealt of many blobs, joined."""
-    parts = [undealt(b, dtypes) for b in blobs]
-    return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, d) for i, d in enumerate(dtypes)]
-
-
-#: Entries of asks and replies about contexts and about windows.
-CONTEXT = ("<u8", "<u8", "u1")  # anchor, whole, more than one / status
-WINDOW = ("<u8", "u1")  # window, more than one
-
-#: What a context is: all of its anchor are alike; it comes again, and here asks for all; it comes again, elsewhere asks; it comes once.
-ALIKE, SPEAKS, SILENT, ONCE = 1, 2, 3, 4
-
-
-def pair_key(anchor: np.ndarray, other: np.ndarray) -> np.ndarray:
-    return mix(anchor ^ mix(other + np.uint64(1)))
-
-
-def unique_contexts(found: Contexts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, whole and whether it comes more than once, of each different context."""
-    _, first, counts = np.unique(pair_key(found.anchor, found.whole), return_index=True, return_counts=True)
-    return found.anchor[first], found.whole[first], (counts > 1).astype(np.uint8)
-
-
-class Judged:
-    """The contexts of a pack with what the replies say of them."""
-
-    def __init__(self, texts: list[np.ndarray], replies: list[bytes], length: int, k: int):
-        self.texts, self.length = texts, length
-        self.found = found = contexts(texts, length, k)
-        anchor, whole, status = all_columns(replies, CONTEXT)
-        known = pair_key(anchor, whole)
-        order = np.argsort(known)
-        known, status = known[order], status[order]
-        own = pair_key(found.anchor, found.whole)
-        at = np.searchsorted(known, own)
-        at[at == len(known)] = 0
-        self.status = np.where(known[at] == own, status[at], 0) if len(known) else np.zeros(len(own), np.uint8)
-        _, firsts = np.unique(own, return_index=True)
-        self.is_first = np.zeros(len(own), bool)
-        self.is_first[firsts] = True
-
-    def window_keys(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text number, start and key of every window in the chosen contexts."""
-        f = self.found
-        numbers, starts, keys = [], [], []
-        index = np.flatnonzero(chosen)
-        for number in np.unique(f.text[index]).tolist():
-            here = index[f.text[index] == number] if len(index) < 64 else index[np.searchsorted(f.text[index], number) : np.searchsorted(f.text[index], number, "right")]
-            sizes = f.last[here] - f.first[here] + 1
-            at = np.repeat(f.first[here] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-            starts.append(at)
-            keys.append(pair_key(np.repeat(f.anchor[here], sizes), windows(self.texts[number], at, self.length)))
-            numbers.append(np.full(len(at), number))
-        return tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in ((numbers, np.int64), (starts, np.int64), (keys, np.uint64)))
-
-    def asks(self) -> tuple[np.ndarray, np.ndarray]:
-        """Different windows that this pack asks about, and whether it has them more than once."""
-        _, _, keys = self.window_keys(self.is_first & ((self.status == SPEAKS) | (self.status == ONCE)))
-        keys, counts = np.unique(keys, return_counts=True)
-        return keys, (counts > 1).astype(np.uint8)
-
-    def repeated(self, again: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each text the first and last starts of ranges of repeated windows; again: the windows that the replies name."""
-        f = self.found
-        sure = (self.status >= ALIKE) & (self.status <= SILENT)
-        number, start, key = self.window_keys(self.status == ONCE)
-        again = np.sort(again)
-        at = np.searchsorted(again, key)
-        at[at == len(again)] = 0
-        hit = again[at] == key if len(again) else np.zeros(len(key), bool)
-        text = np.concatenate([f.text[sure], number[hit]])
-        first, last = np.concatenate([f.first[sure], start[hit]]), np.concatenate([f.last[sure], start[hit]])
-        order = np.argsort(text, kind="stable")
-        text, first, last = text[order], first[order], last[order]
-        bounds = np.searchsorted(text, np.arange(len(self.texts) + 1))
-        return [(first[a:b], last[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
-
-
 def split_counts(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """The parts that sorted keys fall into by their high bits, and where each begins."""
     part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
@@ -193,67 +91,3 @@ def with_rows(packs: DataFrame, rows: DataFrame, work: Callable[[dict, pa.Table]
         return pa.Table.from_batches([b for row in pack.to_pylist() for b in work(row, own)], schema)
 
     return packs.groupBy("pack").cogroup(rows.groupBy("pack")).applyInArrow(run, spark_schema)
-
-
-def with_replies(packs: DataFrame, replies: DataFrame, work: Callable[[dict, list[bytes]], Iterator[pa.RecordBatch]], schema: pa.Schema, spark_schema: str) -> DataFrame:
-    """work(pack, its replies) of every pack, those without a reply too."""
-
-    def run(pack: pa.Table, reply: pa.Table) -> pa.Table:
-        rows = pack.to_pylist()
-        return pa.Table.from_batches([b for row in rows for b in work(row, reply.column("keys").to_pylist())], schema)
-
-    return packs.groupBy("pack").cogroup(replies.groupBy("pack")).applyInArrow(run, spark_schema)
-
-
-def answer_windows(asks: DataFrame) -> DataFrame:
-    """For each pack the windows it asked about that come more than once in all."""
-
-    def run(table: pa.Table) -> pa.Table:
-        packs, blobs = table.column("pack").to_numpy(), table.column("keys").to_pylist()
-        key, more = all_columns(blobs, WINDOW)
-        source = np.repeat(np.arange(len(blobs)), [len(b) // 9 for b in blobs])
-        order = np.argsort(key, kind="stable")
-        key, source = key[order], source[order]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        group = np.cumsum(new) - 1
-        again = np.bincount(group, 1 + more[order]) > 1 if len(key) else np.zeros(0, bool)
-        hit = again[group] if len(key) else again
-        return replied(packs, source[hit], [key[hit]])
-
-    return asks.groupBy("part").applyInArrow(run, REPLY_SCHEMA)
-
-
-def replied(packs: np.ndarray, source: np.ndarray, columns: list[np.ndarray]) -> pa.Table:
-    """One reply for each ask (source: its number) that has entries."""
-    order = np.argsort(source, kind="stable")
-    bounds = np.searchsorted(source[order], np.arange(len(packs) + 1))
-    rows = [(int(packs[i]), b"".join(c[order[a:b]].tobytes() for c in columns)) for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a]
-    return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], schema=_REPLY)
-
-
-def ask_windows(packs: DataFrame, replies: DataFrame, symbols: Callable[[bytes], np.ndarray], length: int, k: int, parts: int) -> DataFrame:
-    """What each pack has to ask about single windows, given the replies about its contexts."""
-
-    def work(row: dict, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        if blobs:
-            keys, more = Judged([symbols(t) for t in texts_in(row)], blobs, length, k).asks()
-            if len(keys):
-                yield dealt(row["pack"], digit(keys, parts), [keys, more])
-
-    return with_replies(packs, replies, work, _ASK, ASK_SCHEMA)
-
-
-def removed(packs: DataFrame, about_contexts: DataFrame, about_windows: DataFrame, symbols: Callable[[bytes], np.ndarray], length: int, k: int, result: Callable, schema: pa.Schema, spark_schema: str) -> DataFrame:
-    """result(id, text, symbols, ranges) of every document, as a row of schema."""
-
-    def work(row: dict, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        texts = texts_in(row)
-        values = [symbols(t) for t in texts]
-        judged = Judged(values, [b[1:] for b in blobs if b[:1] == b"c"], length, k)
-        (again,) = all_columns([b[1:] for b in blobs if b[:1] == b"w"], ("<u8",))
-        rows = [result(*x) for x in zip(row["doc_ids"], texts, values, judged.repeated(again), strict=True)]
-        yield pa.RecordBatch.from_pylist(rows, schema)
-
-    tagged = lambda df, t: df.select("pack", F.concat(F.lit(t).cast("binary"), "keys").alias("keys"))
-    return with_replies(packs, tagged(about_contexts, "c").unionByName(tagged(about_windows, "w")), work, schema, spark_schema)

@@ -1,13 +1,10 @@
-"""Windows of symbols by content: what the two exact repeat finders share.
+"""Windows of bytes by content: where the windows of a text have their anchors.
 
-A window of ``length`` symbols is named by its anchor: of the k-grams in it, the one
-with the least hash, the leftmost of equals. Equal windows have equal anchors at
-equal places, whatever surrounds them. Consecutive windows share an anchor, so a
-text falls into few *contexts*: runs of window starts with one anchor. A context
-whose anchor comes nowhere else holds no repeated window, and needs no more work.
-
-Fingerprints are polynomials modulo 2^64 over mixed symbols; a window is named by
-two of them (its anchor's and its own).
+The anchor of a window is, of the k-grams in it, the one with the least hash, the
+leftmost of equals. Equal windows have equal anchors at equal places, whatever
+surrounds them. Consecutive windows share an anchor, so a text falls into few
+*contexts*: runs of window starts with one anchor. Hashes only pick anchors; whether
+windows are equal is for others to say.
 """
 
 from __future__ import annotations
@@ -51,7 +48,7 @@ def _powers_of(base: np.uint64, n: int) -> np.ndarray:
 
 
 class Prefix:
-    """Fingerprints of any range of a sequence of symbols."""
+    """Polynomials modulo 2^64 of the k-grams of a sequence of symbols, mixed."""
 
     def __init__(self, symbols: np.ndarray):
         n = len(symbols)
@@ -59,9 +56,6 @@ class Prefix:
         np.cumsum(symbols * _powers_of(_BASE, n), out=self.sums[1:])
         self.shift = _powers_of(_INVERSE, n + 1)
 
-    def of(self, begin, end) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[begin]) * self.shift[begin])
-
     def grams(self, k: int) -> np.ndarray:
         n = len(self.sums) - k
         return mix((self.sums[k:] - self.sums[:n]) * self.shift[:n]) if n > 0 else np.zeros(0, U)
@@ -80,24 +74,24 @@ def _least(x: np.ndarray, w: int) -> np.ndarray:
 
 @dataclass
 class Contexts:
-    """Arrays of one entry a context: text number, first and last window start in it, anchor and context fingerprints."""
+    """Arrays of one entry a context: text number, first and last window start in it, the anchor's start and hash."""
 
     text: np.ndarray
     first: np.ndarray
     last: np.ndarray
+    at: np.ndarray
     anchor: np.ndarray
-    whole: np.ndarray
 
 
 def _joined(parts: list[Contexts]) -> Contexts:
-    names = ("text", "first", "last", "anchor", "whole")
+    names = ("text", "first", "last", "at", "anchor")
     if not parts:
-        return Contexts(*[np.zeros(0, np.int64)] * 3, *[np.zeros(0, U)] * 2)
+        return Contexts(*[np.zeros(0, np.int64)] * 4, np.zeros(0, U))
     return Contexts(*[np.concatenate([getattr(p, n) for p in parts]) for n in names])
 
 
 def contexts(texts: list[np.ndarray], length: int, k: int) -> Contexts:
-    """The contexts of texts, each an array of bytes or of mixed 64-bit symbols. Long texts go in steps that overlap by a window; a context cut there is two."""
+    """The contexts of texts, each an array of bytes. Long texts go in steps that overlap by a window; a context cut there is two."""
     parts, held, size = [], [], 0
 
     def flush():
@@ -138,22 +132,7 @@ def _of_pieces(pieces: list[tuple[int, int, np.ndarray]], length: int, k: int) -
     first, last, piece = first[inside], last[inside], piece[inside]
     numbers = np.array([n for n, *_ in pieces], np.int64)
     offset = np.array([at for _, at, _ in pieces], np.int64)[piece] - begins[piece]
-    whole = mix(prefix.of(first, last + length) + (last - first).astype(U))
-    return Contexts(numbers[piece], first + offset, last + offset, grams[place[first]], whole)
-
-
-def windows(symbols: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Fingerprints of the windows at sorted starts, in steps of bounded memory."""
-    out = np.zeros(len(starts), U)
-    at = 0
-    while at < len(starts):
-        low = int(starts[at])
-        to = int(np.searchsorted(starts, low + STEP))
-        prefix = Prefix(mixed(symbols[low : int(starts[to - 1]) + length]))
-        here = starts[at:to] - low
-        out[at:to] = prefix.of(here, here + length)
-        at = to
-    return out
+    return Contexts(numbers[piece], first + offset, last + offset, place[first] + offset, grams[place[first]])
 
 
 def covered(n: int, first: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from basalt.llm.substring_dedup import split_words, substring_dedup
-from basalt.llm.suffix_dedup import byte_symbols, suffix_dedup
+from basalt.llm.suffix_dedup import byte_symbols, radix_groups, suffix_dedup
 
 SCHEMA = "doc_id long, text string, pack long, keys string"
 
@@ -51,13 +51,32 @@ def corpus(seed, unit):
     return [*rows, rows[4], (rows[4][0], "same id, other text", 1, ""), (None, texts[6], 1, "")]
 
 
-@pytest.mark.parametrize(("length", "k"), [(30, 12), (21, 20), (40, 5)])
+@pytest.mark.parametrize(("length", "k"), [(30, 12), (21, 20), (40, 5), (9, 4), (64, 64)])
 def test_suffix_dedup(spark, length, k):
     rows = corpus(length, "é")
     got = suffix_dedup(spark.createDataFrame(rows, SCHEMA).repartition(4), length, k).collect()
     assert sorted(map(tuple, got), key=str) == sorted(brute_bytes(rows, length), key=str)
 
 
+def test_radix_groups():
+    r = random.Random(8)
+    for depth in (3, 8, 11, 24):
+        data = np.array([r.choice([0, 255, 7]) for _ in range(4000)], np.uint8)
+        data[2000:2500] = data[100:600]
+        at = np.arange(4000 - depth)
+        r.shuffle(at)
+        weight = np.array([r.choice([1, 1, 1, 2]) for _ in at])
+        strings = [data[a : a + depth].tobytes() for a in at]
+        total = Counter()
+        for s, w in zip(strings, weight.tolist(), strict=True):
+            total[s] += w
+        alive, group = radix_groups(data, at, depth, weight)
+        assert sorted(alive.tolist()) == [i for i, s in enumerate(strings) if total[s] > 1]
+        seen = {}
+        assert all(seen.setdefault(g, strings[i]) == strings[i] for i, g in zip(alive.tolist(), group.tolist(), strict=True)) and len(seen) == len({strings[i] for i in alive.tolist()})
+        assert [seen[g] for g in sorted(seen)] == sorted(seen.values())
+
+
 @pytest.mark.parametrize("length", [2, 6, 9, 12])
 def test_substring_dedup(spark, length):
     rows = corpus(length, "é")
