@@ -86,6 +86,15 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a list (of two longs, or a digest) that is broadcast: some 50 MB where it is looked up.
+LIST_ROWS = 500_000
+
+
+def listed(rows: DataFrame) -> DataFrame:
+    """A written table as a side of a join: broadcast if it's a short list, so that hot keys of the other side stay spread."""
+    return F.broadcast(rows) if rows.count() <= LIST_ROWS else rows
+
+
 def backquoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

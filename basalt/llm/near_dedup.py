@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import backquoted, ship, written
+from .common import backquoted, listed, ship, written
 from .components import Forest, components
 
 SHINGLE, THRESHOLD = 5, 75
@@ -44,8 +44,6 @@ PERMS = BANDS * ROWS
 FLOOR = 0.55
 #: Bytes of shingle hashes in a chunk of a family.
 CHUNK_BYTES = 250_000
-#: Rows of two longs in a list that is broadcast: some 50 MB where it is looked up.
-LIST_ROWS = 1_000_000
 #: Words that are hashed at once.
 STEP = 1 << 16
 
@@ -222,9 +220,7 @@ def near_links(reps: DataFrame, texts: DataFrame, chunk_bytes: int = CHUNK_BYTES
     placed = written(families.join(reps.select("doc_id", "tie", "n_shingles", "signature"), "doc_id"), "placed")
     sizes = written(placed.groupBy("family").agg(F.ceil(F.sum(F.col("n_shingles") * 8 + 96) / chunk_bytes).cast("int").alias("n_chunks")), "sizes")
     # Texts outside of families stay where they are, as long as the list of those inside is small.
-    inside = placed.select("doc_id", "tie")
-    if inside.count() <= LIST_ROWS:
-        texts = texts.join(F.broadcast(inside), ["doc_id", "tie"], "left_semi")
+    texts = texts.join(listed(placed.select("doc_id", "tie")), ["doc_id", "tie"], "left_semi")
     members = placed.join(sizes, "family").select("family", "n_chunks", "doc_id", "tie", "signature").join(texts.dropDuplicates(["doc_id", "tie"]), ["doc_id", "tie"])
     with_sets = members.select("family", "n_chunks", "doc_id", "signature", "text").mapInArrow(_with_sets, "family long, n_chunks int, doc_id long, signature binary, shingles binary")
     numbered = with_sets.withColumn("component", F.col("doc_id")).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("n_chunks")).cast("int"))

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, written
+from .common import listed, ship, written
 from .packs import n_parts, packed, split_counts, texts_in, with_rows
 from .repeats import covered, mix
 
@@ -277,8 +277,8 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, key: str = "doc_id",
     candidates = with_rows(packs.withColumn("parts", F.lit(parts)), counted, _paths(length), _PATH, "digest binary, pack long, at long, edges long")
     paths = written(candidates, "paths")
     parts_of = compacted(packs, paths, length)
-    alone = parts_of.groupBy("digest").agg(F.sum("places").alias("n")).where("n < 2").select("digest")
-    unproved = written(parts_of.join(alone, "digest").select(F.col("of").alias("digest"), "offset", F.col("edges").alias("n")), "unproved")
-    holes = unproved.join(paths, "digest").selectExpr("pack", "at + offset AS at", "n AS edges", "false AS proved")
+    alone = written(parts_of.groupBy("digest").agg(F.sum("places").alias("n")).where("n < 2").select("digest"), "alone")
+    unproved = written(parts_of.join(listed(alone), "digest").select(F.col("of").alias("digest"), "offset", F.col("edges").alias("n")), "unproved")
+    holes = paths.join(listed(unproved), "digest").selectExpr("pack", "at + offset AS at", "n AS edges", "false AS proved")
     own = paths.selectExpr("pack", "at", "edges", "true AS proved").unionByName(holes)
     return with_rows(packs, own, _removed(length), _RESULT, "doc_id long, n_words long, n_removed long, kept_sha256 string")
