@@ -5,14 +5,15 @@ from .quality_rules import STOP_WORDS, SYMBOLS, THRESHOLDS
 
 _STOPS = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
 _VERDICT = " AND ".join(
-    f"1000 * {t.part} {sign} {t.whole} * {bound}" for t in THRESHOLDS for sign, bound in (("<=", t.most), (">=", t.least)) if bound is not None
-)
+    f"(1000 * {t.part} {sign} {t.whole} * {bound}" + (f" OR lang IS NULL OR lang NOT IN {t.languages})" if t.languages else ")")
+    for t in THRESHOLDS for sign, bound in (("<=", t.most), (">=", t.least)) if bound is not None
+)
 
 QUALITY_RULES = rf"""
 WITH d AS (
-    SELECT doc_id, coalesce(text, '') AS text FROM documents
+    SELECT doc_id, lang, coalesce(text, '') AS text FROM documents
 ), w AS (
-    SELECT doc_id, text,
+    SELECT doc_id, lang, text,
            regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
            list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
     FROM d
@@ -25,7 +26,7 @@ WITH d AS (
 ), c AS (
     SELECT doc_id, count(DISTINCT pos + k) AS n FROM r, (VALUES (0), (1), (2)) AS k(k) GROUP BY doc_id
 ), m AS (
-    SELECT g.doc_id,
+    SELECT g.doc_id, g.lang,
            CAST(len(words) AS BIGINT) AS n_words,
            CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
            CAST(length(regexp_replace(text, '[^{SYMBOLS}]+', '', 'g')) AS BIGINT) AS n_symbols,
@@ -35,7 +36,7 @@ WITH d AS (
            CAST(len(list_filter(words, lambda x: lower(x) IN ({_STOPS}))) AS BIGINT) AS n_stop_words
     FROM g LEFT JOIN c ON g.doc_id = c.doc_id
 )
-SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+SELECT * EXCLUDE (lang), (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND {_VERDICT} AS kept
 FROM m
 """

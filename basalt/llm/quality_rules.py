@@ -5,8 +5,10 @@ Every measure is a Spark expression over the whole text, and every row of
 JVM and nothing is shuffled.
 
 Defined results: a null or empty text has no words, so it fails the base rule;
-repeated rows are judged one by one and alike; an empty table gives an empty
-result; other columns of the input are never looked at, whatever their names.
+a document in another language than a threshold's, or in none that is known (null),
+passes that threshold; repeated rows are judged one by one and alike; an empty table
+gives an empty result; other columns of the input are never looked at, whatever their
+names; a very long text takes time and memory in proportion to its words.
 """
 
 from __future__ import annotations
@@ -33,21 +35,25 @@ STOP_WORDS = (
 
 @dataclass(frozen=True)
 class Threshold:
-    """A document is rejected where 1000 * part > most * whole, or < least * whole."""
+    """A document is rejected where 1000 * part > most * whole, or < least * whole; with languages, only a document in one of them."""
 
     rule: str
     part: str
     whole: str
     least: int | None = None
     most: int | None = None
+    languages: tuple[str, ...] | None = None
 
 
+# The languages that the stop words are of, and that part words by spaces.
+KNOWN = ("en", "de", "es", "fr")
 # Parts of a thousand, of measures in MEASURES.
 THRESHOLDS = (
-    Threshold("mean word length", "word_chars", "n_words", least=2_000, most=15_000),
-    Threshold("symbols to words", "n_symbols", "n_words", most=250),
+    Threshold("mean word length", "word_chars", "n_words", least=2_000, most=15_000, languages=KNOWN),
+    # A table has a mark for each cell, so up to one a word.
+    Threshold("symbols to words", "n_symbols", "n_words", most=1_000),
     Threshold("lines that repeat", "n_dup_lines", "n_lines", most=500),
-    Threshold("stop words", "n_stop_words", "n_words", least=10),
+    Threshold("stop words", "n_stop_words", "n_words", least=10, languages=KNOWN),
 )
 
 
@@ -94,31 +100,36 @@ def _measured(df: DataFrame, text: str) -> DataFrame:
     return df.select(*before, F.inline(F.array(measures)))
 
 
-def _verdict(thresholds: tuple[Threshold, ...]) -> Column:
+def _verdict(thresholds: tuple[Threshold, ...], language: Column | None) -> Column:
     """Whether no row of the table speaks against the document."""
     ok = F.lit(True)
     for t in thresholds:
         part, whole = F.col(t.part) * 1000, F.col(t.whole)
+        here = F.lit(True)
         if t.most is not None:
-            ok = ok & (part <= whole * t.most)
+            here = here & (part <= whole * t.most)
         if t.least is not None:
-            ok = ok & (part >= whole * t.least)
+            here = here & (part >= whole * t.least)
+        if t.languages is not None and language is not None:
+            here = here | ~F.coalesce(language.isin(*t.languages), F.lit(False))
+        ok = ok & here
     return ok
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words")
 
 
-def quality_rules(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), thresholds: tuple[Threshold, ...] = THRESHOLDS) -> DataFrame:
+def quality_rules(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), thresholds: tuple[Threshold, ...] = THRESHOLDS, language: str | None = None) -> DataFrame:
     """The columns of ``keep``, the measures, base_failed and kept of each row of docs.
 
     keep may hold any columns but those named like a measure; the text column
-    may be among them.
+    may be among them. language: a column with the document's language; without it,
+    thresholds for some languages hold for every document.
     """
     if clash := set(keep) & {*MEASURES, "base_failed", "kept"}:
         raise ValueError(f"columns of the input named like results: {sorted(clash)}")
-    source = docs.select(*[F.col(backquoted(c)).alias(c) for c in keep], F.col(backquoted(text)).alias("__text"))
+    source = docs.select(*[F.col(backquoted(c)).alias(c) for c in keep], *([F.col(backquoted(language)).alias("__language")] if language else []), F.col(backquoted(text)).alias("__text"))
     base = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     return _measured(source, "__text").select(
-        *[F.col(backquoted(c)) for c in keep], *MEASURES, base.alias("base_failed"), (~base & _verdict(thresholds)).alias("kept")
+        *[F.col(backquoted(c)) for c in keep], *MEASURES, base.alias("base_failed"), (~base & _verdict(thresholds, F.col("__language") if language else None)).alias("kept")
     )

@@ -45,8 +45,14 @@ def test_quality_rules(spark):
     assert sorted((g.doc_id, g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words, g.base_failed) for g in got) == want
     assert not any(g.kept and g.base_failed for g in got)
     prose = " ".join(f"the word{chr(97 + i % 26)}{chr(97 + i // 26)} of" for i in range(60))
-    verdicts = {g.doc_id: g.kept for g in quality_rules(spark.createDataFrame([(1, prose), (2, prose + " ##" * 90), (3, prose.replace("the", "zzz").replace("of", "yyy"))], "doc_id long, text string")).collect()}
+    verdicts = {g.doc_id: g.kept for g in quality_rules(spark.createDataFrame([(1, prose), (2, prose + " ##" * 400), (3, prose.replace("the", "zzz").replace("of", "yyy"))], "doc_id long, text string")).collect()}
     assert verdicts == {1: True, 2: False, 3: False}
+    foreign = prose.replace("the", "zzz").replace("of", "yyy")
+    rows = [(1, prose, "en"), (2, foreign, "en"), (3, foreign, "fi"), (4, foreign, None), (5, foreign + " ##" * 400, "fi"), (6, "a | b | " * 9 + prose, "en")]
+    spoken = quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string"), language="lang").collect()
+    assert {g.doc_id: g.kept for g in spoken} == {1: True, 2: False, 3: True, 4: True, 5: False, 6: True}
+    long = quality_rules(spark.createDataFrame([(1, "the word of " * 300_000)], "doc_id long, text string")).first()
+    assert (long.n_words, long.n_repeat_words, long.kept) == (900_000, 900_000, False)
     with pytest.raises(ValueError):
         quality_rules(df.withColumnRenamed("gram", "n_words"), keep=("doc_id", "n_words"))
     assert quality_rules(spark.createDataFrame([], "doc_id long, text string")).collect() == []
