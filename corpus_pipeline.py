@@ -5,9 +5,13 @@ group, decontamination drops contaminated documents, secret scans redact what th
 find, and the last stage encodes the texts. Every stage works on all that the one
 before kept; all but the last return the columns of documents.
 
-Counted as part of ``basalt.llm``; every row is judged by itself, under a number that
-the stage gives it, so null and repeated doc_ids are dropped like others. Of a group
-of near-duplicates the row of the smallest doc_id stays.
+Counted as part of ``basalt.llm``. Defined results: every row is judged by itself, under
+a number that the stage gives it, so null and repeated doc_ids are dropped like others;
+of a group of near-duplicates the row of the smallest doc_id stays (null after all
+others), of equal rows any one; null and empty texts go in the first stage; an empty
+table, or a stage that keeps nothing, gives an empty result; other columns than those of
+documents are left behind, whatever their names; very long texts are taken whole. The
+folders of the stages go when the application ends.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm.common import pick, shared_dir, ship, table, written
+from basalt.llm.common import passing, pick, shared_dir, ship, table, written
 from basalt.llm.decontaminate import decontaminate
 from basalt.llm.near_dedup import near_dedup
 from basalt.llm.piece_codec import encode_pieces
@@ -38,7 +42,7 @@ def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = quality_rules(docs, keep=COLUMNS)
+    judged = quality_rules(docs, keep=COLUMNS, language="lang")
     return judged.where("kept").select(*COLUMNS)
 
 
@@ -89,6 +93,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         folder = shared_dir(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(folder)
+        passing(spark, folder)
         docs = spark.read.parquet(folder)
     return docs
 
