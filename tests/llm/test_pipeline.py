@@ -47,3 +47,21 @@ def test_null_and_repeated_ids(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = sorted(((r.doc_id, r.ids) for r in p.run(spark, str(tmp_path)).collect()), key=str)
     assert got == sorted(((i, LIBRARY.encode(t)) for i, t in [(None, prose("a")), (3, prose("b")), (5, prose("e")), (4, prose("d") + " end")]), key=str)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, row int, component_id long, n_words long, __text string"
+
+
+def test_odd_tables(spark, tmp_path):
+    """Extra columns with clashing names, equal rows, ties, nulls in every column, a very long text; and tables without rows."""
+    item = " ".join(f"item word{i}" for i in range(10))
+    more = ("x", 1, 2, 3, "y")
+    long = " ".join(f"the w{i} of" for i in range(200_000))
+    rows = [(1, prose("a"), None, None, None, *more), (1, prose("a"), None, None, None, *more), (2, prose("a"), "en", "s", 1, *more), (None, None, None, None, None, *[None] * 5), (4, "", "", "", 0, *more), (6, long, "en", "s", 1, *more), (7, prose("b"), "fi", "s", 1, *[None] * 5)]
+    docs, items = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(1, item, "c")], "item_id long, text string, doc_id string")
+    for name, some, bench in (("full", docs, items), ("empty", docs.where("false"), items), ("none", docs, items.where("false"))):
+        some.write.parquet(str(tmp_path / name / "documents.parquet"))
+        bench.write.parquet(str(tmp_path / name / "benchmark.parquet"))
+        got = sorted(((r.doc_id, r.n_pieces) for r in p.run(spark, str(tmp_path / name)).collect()), key=str)
+        texts = {} if name == "empty" else {1: prose("a"), 6: long, 7: prose("b")}
+        assert got == [(i, len(LIBRARY.encode(t))) for i, t in texts.items()]
