@@ -19,7 +19,7 @@ _shipped: set[str] = set()
 
 
 #: Bytes of an Arrow batch: with long texts, batches by rows alone fill the workers' memory.
-BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8_000_000
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2_000_000
 
 
 def size_of(setting: str) -> int:
@@ -95,6 +95,24 @@ def listed(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= LIST_ROWS else rows
 
 
+def tidied(run):
+    """A function over batches that gives back, after each task, what its process holds but doesn't use: workers live on from task to task."""
+
+    def call(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow
+
+            pyarrow.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return call
+
+
 def backquoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

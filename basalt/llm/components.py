@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidied, written
 
 #: Links that one task unites: 16 bytes each on the wire, some 200 in its tables.
 SMALL = 1_000_000
@@ -76,9 +76,9 @@ def _forest(most: int):
 
 def components(links: DataFrame, small: int = SMALL) -> DataFrame:
     """links: long columns a and b. Returns node, component (the smallest node reachable), without lone nodes."""
-    links = written(links.select("a", "b").where("a <> b").mapInArrow(_forest(PIECE), "a long, b long"), "links")
+    links = written(links.select("a", "b").where("a <> b").mapInArrow(tidied(_forest(PIECE)), "a long, b long"), "links")
     if links.count() <= small:
-        united = links.repartition(1).mapInArrow(_forest(2 * small + 1), "a long, b long")
+        united = links.repartition(1).mapInArrow(tidied(_forest(2 * small + 1)), "a long, b long")
         stars = written(united, "stars")
     else:
         stars = _stars(links)

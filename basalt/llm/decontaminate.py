@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import backquoted, ship, written
+from .common import backquoted, ship, tidied, written
 
 WINDOW = 13
 #: Bytes of item text in one broadcast block of patterns.
@@ -204,12 +204,12 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     n = blocks_of(benchmark, block_bytes)
     if n == 1:
         shared = spark.sparkContext.broadcast(_block(benchmark))
-        return docs.mapInArrow(_search(uuid.uuid4().hex, shared, window, True), schema)
+        return docs.mapInArrow(tidied(_search(uuid.uuid4().hex, shared, window, True)), schema)
     found = None
     for block in range(n):
         # One block at a time is on the driver and with the tasks; of later ones only rows with hits are written.
         shared = spark.sparkContext.broadcast(_block(benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block)))
-        one = written(docs.mapInArrow(_search(uuid.uuid4().hex, shared, window, block == 0), schema), "hits")
+        one = written(docs.mapInArrow(tidied(_search(uuid.uuid4().hex, shared, window, block == 0)), schema), "hits")
         shared.destroy()
         found = one if found is None else found.unionByName(one)
     # A text alone decides its rows, so equal rows agree, and a set holds no more than one entry a block.

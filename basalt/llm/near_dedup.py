@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import backquoted, listed, ship, written
+from .common import backquoted, listed, ship, tidied, written
 from .components import Forest, components
 
 SHINGLE, THRESHOLD = 5, 75
@@ -99,8 +99,8 @@ def _combine(columns: list[np.ndarray]) -> np.ndarray:
 def minima(hashes: np.ndarray) -> np.ndarray:
     """The minimum of each salted order of a set of 64-bit hashes, in steps of bounded memory."""
     best = np.full(PERMS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(hashes), 4096):
-        part = hashes[i : i + 4096, None] ^ _SALTS
+    for i in range(0, len(hashes), 512):
+        part = hashes[i : i + 512, None] ^ _SALTS
         part *= np.uint64(0xD6E8FEB86659FD93)
         part ^= part >> np.uint64(32)
         part *= np.uint64(0xD6E8FEB86659FD93)
@@ -205,7 +205,7 @@ def _meetings(chunks: DataFrame, partners, known: bool) -> DataFrame:
     ones = chunks.select("family", F.explode(partners).alias("chunk"), F.col("members").alias("one"))
     twos = chunks.select("family", "chunk", F.col("members").alias("two"))
     met = ones.join(twos, ["family", "chunk"]).select("one", "two", F.lit(known).alias("known"))
-    return met.mapInArrow(_meet, "a long, b long")
+    return met.mapInArrow(tidied(_meet), "a long, b long")
 
 
 def near_links(reps: DataFrame, texts: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -222,7 +222,7 @@ def near_links(reps: DataFrame, texts: DataFrame, chunk_bytes: int = CHUNK_BYTES
     # Texts outside of families stay where they are, as long as the list of those inside is small.
     texts = texts.join(listed(placed.select("doc_id", "tie")), ["doc_id", "tie"], "left_semi")
     members = placed.join(sizes, "family").select("family", "n_chunks", "doc_id", "tie", "signature").join(texts.dropDuplicates(["doc_id", "tie"]), ["doc_id", "tie"])
-    with_sets = members.select("family", "n_chunks", "doc_id", "signature", "text").mapInArrow(_with_sets, "family long, n_chunks int, doc_id long, signature binary, shingles binary")
+    with_sets = members.select("family", "n_chunks", "doc_id", "signature", "text").mapInArrow(tidied(_with_sets), "family long, n_chunks int, doc_id long, signature binary, shingles binary")
     numbered = with_sets.withColumn("component", F.col("doc_id")).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("n_chunks")).cast("int"))
     chunks = written(_chunked(numbered), "chunks")
     # As many meetings as chunks: each with itself, and a family's first with its others.
@@ -231,7 +231,7 @@ def near_links(reps: DataFrame, texts: DataFrame, chunk_bytes: int = CHUNK_BYTES
     several = chunks.where("n_chunks > 1")
     firsts, others = (several.where(c).select("family", F.col("members").alias(n)) for c, n in (("chunk = 0", "one"), ("chunk > 0", "two")))
     met = others.join(firsts, "family").select("one", "two", F.lit(False).alias("known"))
-    links = written(alone.mapInArrow(_meet, "a long, b long").unionByName(met.mapInArrow(_meet, "a long, b long")), "first_links")
+    links = written(alone.mapInArrow(tidied(_meet), "a long, b long").unionByName(met.mapInArrow(tidied(_meet), "a long, b long")), "first_links")
     several = chunks.where("n_chunks > 2")
     if several.isEmpty():
         return links
@@ -255,7 +255,7 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk_b
     """doc_id, n_shingles, component_id and kept of each row of docs; doc_id is an integer."""
     ship(docs.sparkSession)
     source = docs.select(F.col(backquoted(key)).cast("long").alias("doc_id"), F.col(backquoted(text)).alias("text")).withColumn("tie", F.xxhash64("text"))
-    signed = written(source.mapInArrow(_sign, _SIGNED), "signed")
+    signed = written(source.mapInArrow(tidied(_sign), _SIGNED), "signed")
     named = signed.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
     # A class: the rows of equal sets.
     classes = written(named.groupBy("set_key").agg(F.min(F.struct("doc_id", "tie", "n_shingles", "bands", "signature")).alias("r")).select("set_key", "r.*"), "classes")

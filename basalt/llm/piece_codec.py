@@ -54,12 +54,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import backquoted, ship
+from .common import backquoted, ship, tidied
 from .piece_model import PieceModel, read_model
 
 MARK = "▁"
 #: Entries of the memories of units and of neighbours, of each of two generations; the longest unit kept.
-UNITS_KEPT, PAIRS_KEPT, LONGEST = 100_000, 100_000, 64
+UNITS_KEPT, PAIRS_KEPT, LONGEST = 100_000, 20_000, 64
 #: Weight of a byte fallback beyond the heaviest piece of a unigram model.
 FALLBACK = 10.0
 
@@ -379,7 +379,7 @@ def encode_pieces(docs: DataFrame, model_file: str, text: str = "text", keep: tu
 
     source = docs.select(*[F.col(backquoted(c)).alias(c) for c in keep], F.col(backquoted(text)).alias("__text"))
     fields = [f"{backquoted(c)} {source.schema[c].dataType.simpleString()}" for c in keep]
-    return source.mapInArrow(run, ", ".join([*fields, f"{backquoted(into)} array<int>"]))
+    return source.mapInArrow(tidied(run), ", ".join([*fields, f"{backquoted(into)} array<int>"]))
 
 
 def decode_pieces(encoded: DataFrame, model_file: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",), into: str = "text") -> DataFrame:
@@ -394,7 +394,7 @@ def decode_pieces(encoded: DataFrame, model_file: str, ids: str = "ids", keep: t
 
     source = encoded.select(*[F.col(backquoted(c)).alias(c) for c in keep], F.col(backquoted(ids)).alias("__ids"))
     fields = [f"{backquoted(c)} {source.schema[c].dataType.simpleString()}" for c in keep]
-    return source.mapInArrow(run, ", ".join([*fields, f"{backquoted(into)} string"]))
+    return source.mapInArrow(tidied(run), ", ".join([*fields, f"{backquoted(into)} string"]))
 
 
 def piece_codec(docs: DataFrame, model_file: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -414,4 +414,4 @@ def piece_codec(docs: DataFrame, model_file: str, key: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids_crc32", "round_trip"])
 
     source = docs.select(F.col(backquoted(key)).alias("doc_id"), F.col(backquoted(text)).alias("text"))
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_pieces long, ids_crc32 long, round_trip boolean")
+    return source.mapInArrow(tidied(run), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_pieces long, ids_crc32 long, round_trip boolean")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import backquoted, ship
+from .common import backquoted, ship, tidied
 
 KINDS = ("assign", "access", "hex", "novel")
 BASE = KINDS[:3]
@@ -245,7 +245,7 @@ def secret_scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     ship(docs.sparkSession)
     source = docs.select(F.col(backquoted(key)).alias("doc_id"), F.col(backquoted(text)).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(_scan, f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string")
+    return source.mapInArrow(tidied(_scan), f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string")
 
 
 def redact_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -258,4 +258,4 @@ def redact_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
             out = [None if (t := v.as_py()) is None else redacted(t, s) if (s := spans_of(t)) else t for v in batch.column(at)]
             yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

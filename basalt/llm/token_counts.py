@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import backquoted, ship, texts_of
+from .common import backquoted, ship, texts_of, tidied
 from .units import UnitEncoder, tokenizer
 
 #: Characters of a chunk, and of the first overlap of two chunks.
@@ -96,4 +96,4 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, key: s
     t = F.col(backquoted(text))
     source = docs.select(F.col(backquoted(key)).alias("doc_id"), F.coalesce(F.octet_length(t), F.lit(0)).cast("long").alias("n_bytes"), t.alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(_counts(tokenizer_path, limit, chunk), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return source.mapInArrow(tidied(_counts(tokenizer_path, limit, chunk)), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
