@@ -59,7 +59,7 @@ from .piece_model import PieceModel, read_model
 
 MARK = "▁"
 #: Entries of the memories of units and of neighbours, of each of two generations; the longest unit kept.
-UNITS_KEPT, PAIRS_KEPT, LONGEST = 100_000, 20_000, 64
+UNITS_KEPT, PAIRS_KEPT, LONGEST = 100_000, 100_000, 64
 #: Weight of a byte fallback beyond the heaviest piece of a unigram model.
 FALLBACK = 10.0
 
@@ -257,16 +257,17 @@ class PieceTransducer:
             if settled < last:
                 self._relax_fallback(unit, settled, last, weight, state, begin, out)
                 settled = last
-            end, at = last + 1, last + 1 - size
+            end = last + 1
+            at = end - size
+            if merging:
+                # There is but one finite path: what is found isn't bettered.
+                if weight[end] < inf or weight[at] == inf or ((before := state[at]) and between[before, to]):
+                    continue
+                weight[end], state[end], begin[end], out[end] = weight[at] + cost, to, at, ids
+                continue
             # Unigram sums are rounded to single precision, as the library's: that decides between paths of equal pieces.
-            total = weight[at] + cost if merging else _single(weight[at] + cost)
+            total = _single(weight[at] + cost)
             if total < weight[end]:
-                if merging:
-                    if weight[end] < inf:
-                        continue
-                    before = state[at]
-                    if before and between[before, to]:
-                        continue
                 weight[end], state[end], begin[end], out[end] = total, to, at, ids
         if settled < n:
             self._relax_fallback(unit, settled, n, weight, state, begin, out)
