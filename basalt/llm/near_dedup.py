@@ -9,8 +9,9 @@
    tie for each member, never pairs). Tied classes form a family.
 4. Families are cut by hash into chunks of bounded size. First every chunk meets
    itself and its family's first chunk, which links a hot family in a number of
-   steps that grows with it; then the other pairs of chunks meet, unless both hold
-   the same single component. In a meeting the signatures are compared by bit counts,
+   steps that grows with it. In families of more chunks, only the buckets that still
+   hold several components go on: they make families anew, and all chunks of these
+   meet, unless both hold the same single component. In a meeting the signatures are compared by bit counts,
    corrected for chance agreement of b bits; pairs that may be similar and are not
    connected yet are confirmed on the full sets, by the first 64 bits of each hash.
 5. Links give components.
@@ -235,20 +236,27 @@ def near_links(reps: DataFrame, texts: DataFrame, chunk_bytes: int = CHUNK_BYTES
     several = chunks.where("n_chunks > 2")
     if several.isEmpty():
         return links
-    # All other pairs of chunks, but of those that hold only the family's main component.
-    apart = several.select("family", "n_chunks", F.explode("members").alias("m")).select("family", "n_chunks", "m.doc_id", "m.signature", "m.shingles")
+    # From here on the buckets that still hold several components make the families: what shares none but settled ones is done.
+    apart = several.select(F.explode("members").alias("m")).select("m.doc_id", "m.signature", "m.shingles")
     apart = apart.join(components(links).select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     apart = written(apart.withColumn("component", F.coalesce("component", "doc_id")), "apart")
+    keyed = keyed.join(apart.select("doc_id", "component").distinct(), "doc_id")
+    unsettled = written(keyed.groupBy("band").agg(F.min("doc_id").alias("hub"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "hub"), "unsettled")
+    ties = keyed.join(unsettled, "band").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
+    families = components(ties).withColumnsRenamed({"node": "doc_id", "component": "family"})
+    apart = written(apart.join(families, "doc_id"), "asked")
+    sizes = apart.groupBy("family").agg(F.ceil(F.sum(F.octet_length("shingles") + 96) / chunk_bytes).cast("int").alias("n_chunks"))
     counted = apart.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = written(counted.groupBy("family").agg(F.max(F.struct("n", "component"))["component"].alias("main")), "main")
+    main = counted.groupBy("family").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
     half = (F.col("component") != F.col("main")).cast("int")
-    apart = apart.join(main, "family").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("n_chunks")).cast("int") * 2 + half)
+    apart = apart.join(written(sizes.join(main, "family"), "main"), "family").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("n_chunks")).cast("int") * 2 + half)
     chunks = written(_chunked(apart), "chunks_apart")
-    # 2c holds the main component's part of chunk c, 2c + 1 the rest; parts of one chunk and of chunk 0 have met.
+    # 2c holds what the family's largest component has in chunk c, which meets none of its own; 2c + 1 holds the rest.
     c = F.col("chunk")
-    rest = F.filter(F.sequence(F.lit(2), F.col("n_chunks") * 2 - 1), lambda j: ((j % 2 == 0) & (j != c - 1)) | ((j % 2 == 1) & (j > c)))
-    partners = F.when((c % 2 == 1) & (c > 2), rest).otherwise(F.array().cast("array<int>"))
-    return links.unionByName(written(_meetings(chunks, partners, True), "later_links"))
+    alone = chunks.where(c % 2 == 1).select(F.col("members").alias("one"), F.lit(None).cast(chunks.schema["members"].dataType).alias("two"), F.lit(True).alias("known"))
+    rest = F.filter(F.sequence(F.lit(0), F.col("n_chunks") * 2 - 1), lambda j: (j % 2 == 0) | (j > c))
+    partners = F.when(c % 2 == 1, rest).otherwise(F.array().cast("array<int>"))
+    return links.unionByName(written(alone.mapInArrow(tidied(_meet), "a long, b long").unionByName(_meetings(chunks, partners, True)), "later_links"))
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:

@@ -76,6 +76,22 @@ def test_near_dedup(spark, chunk_bytes):
     assert got == brute(rows)
 
 
+def test_later_meetings(spark):
+    """Chains whose neighbours alone are similar, tied into one family: most links are far from the family's first chunk."""
+    r = random.Random(9)
+    rows = []
+    for chain in range(4):
+        words = [f"c{chain}x{i}" for i in range(80)]
+        for step in range(30):
+            words[step * 2 % 80] = f"n{r.randrange(10**9)}"
+            rows.append((r.randrange(10**6), " ".join(words)))
+    rows = [(i * 1000 + at, text) for at, (i, text) in enumerate(rows)]
+    # The same numbers again, so that an id has several texts.
+    rows += [(rows[0][0], "another text under the id of the first one"), (rows[1][0], rows[50][1])]
+    got = sorted(map(tuple, near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), chunk_bytes=2000).collect()), key=str)
+    assert got == brute(rows)
+
+
 def test_words_that_polynomials_confuse(spark):
     """A Thue-Morse word and its complement have one polynomial modulo 2^64, whatever the base."""
     bits = [bin(i).count("1") % 2 for i in range(2048)]
