@@ -240,7 +240,9 @@ def near_links(reps: DataFrame, texts: DataFrame, chunk_bytes: int = CHUNK_BYTES
     apart = several.select(F.explode("members").alias("m")).select("m.doc_id", "m.signature", "m.shingles")
     apart = apart.join(components(links).select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     apart = written(apart.withColumn("component", F.coalesce("component", "doc_id")), "apart")
-    keyed = keyed.join(apart.select("doc_id", "component").distinct(), "doc_id")
+    # Joined by document, before the bands are rows: they move once, to their buckets.
+    found = written(apart.select("doc_id", "component").distinct(), "ids_apart")
+    keyed = written(reps.select("doc_id", "bands").join(listed(found), "doc_id"), "bands_apart").select(F.explode("bands").alias("band"), "doc_id", "component")
     unsettled = written(keyed.groupBy("band").agg(F.min("doc_id").alias("hub"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "hub"), "unsettled")
     ties = keyed.join(unsettled, "band").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
     families = components(ties).withColumnsRenamed({"node": "doc_id", "component": "family"})
